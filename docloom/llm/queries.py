@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import canonical
+from docloom.llm import canonical, neardup
 from docloom.runtime import read_table
 
 
+#: The statement of the task's data for problem 1: three words, similarity 0.7.
+NEAR = neardup.Settings(shingle=3, threshold=Fraction(7, 10))
+
+
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "document_record", "pk", "text_content")
+    return neardup.near_pairs(documents, read_table(spark, directory, "chunk_record", "pk", "text"), NEAR)
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.hidden_copies(read_table(spark, directory, "chunk_record", "pk", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p6_found": p6_found,
+}

@@ -16,4 +16,28 @@ three AS (SELECT pk, least(min(b) OVER (PARTITION BY p), CASE WHEN f IS NULL THE
 SELECT kept AS kept_pk, pk AS copy_pk FROM three WHERE pk > kept
 """
 
-ORACLE: dict[str, str] = {"p6_found": P6_FOUND}
+P1_FOUND = rf"""
+WITH recs AS (
+  SELECT DISTINCT 'document_record' AS rec_table, pk, text_content AS text FROM document_record
+  UNION ALL SELECT DISTINCT 'chunk_record', pk, text FROM chunk_record),
+w AS (SELECT rec_table, pk, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM recs),
+sh AS (
+  SELECT DISTINCT rec_table, pk, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s
+  FROM (SELECT rec_table, pk, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+n AS (SELECT rec_table, pk, count(*) AS n FROM sh GROUP BY ALL),
+pairs AS (
+  SELECT a.rec_table, a.pk AS pk_a, b.pk AS pk_b, count(*) AS c
+  FROM sh a JOIN sh b ON a.rec_table = b.rec_table AND a.s = b.s AND a.pk < b.pk GROUP BY ALL),
+hit AS (
+  SELECT p.rec_table, pk_a, pk_b FROM pairs p JOIN n x ON x.rec_table = p.rec_table AND x.pk = pk_a
+  JOIN n y ON y.rec_table = p.rec_table AND y.pk = pk_b WHERE c * 10 >= 7 * (x.n + y.n - c)),
+copies AS ({P6_FOUND}),
+class AS (SELECT copy_pk AS pk, kept_pk AS k FROM copies UNION SELECT kept_pk, kept_pk FROM copies)
+SELECT rec_table, pk_a, pk_b FROM hit LEFT JOIN class u ON u.pk = pk_a LEFT JOIN class v ON v.pk = pk_b
+WHERE rec_table = 'document_record' OR u.k IS NULL OR v.k IS NULL OR u.k <> v.k
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": P1_FOUND,
+    "p6_found": P6_FOUND,
+}
