@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import canonical, neardup
+from docloom.llm import canonical, lines, neardup, split
 from docloom.runtime import read_table
 
 
@@ -20,11 +20,40 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.near_pairs(documents, read_table(spark, directory, "chunk_record", "pk", "text"), NEAR)
 
 
+def _pages(spark: SparkSession, directory: str) -> DataFrame:
+    return read_table(spark, directory, "document_record").selectExpr("pk AS doc", "crate AS source", "text_content AS text")
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    _, occurrences = lines.boilerplate(_pages(spark, directory))
+    return occurrences.selectExpr("doc AS pk", "line_no").distinct()
+
+
+def p3_cleaned(spark: SparkSession, directory: str) -> DataFrame:
+    pages = _pages(spark, directory)
+    _, occurrences = lines.boilerplate(pages)
+    return lines.cleaned(pages, occurrences).selectExpr("doc AS pk", "text", "removed")
+
+
+def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "document_record").selectExpr("'document_record' AS kind", "pk AS item", "0 AS start_offset", "text_content AS text")
+    chunks = read_table(spark, directory, "chunk_record").selectExpr("'chunk_record' AS kind", "pk AS item", "start_offset", "text")
+    return split.split_texts(documents.unionByName(chunks)).withColumnsRenamed({"kind": "rec_table", "item": "pk"})
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p4_pieces(spark, directory).filter("piece_no > 0").select("rec_table", "pk").distinct()
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.hidden_copies(read_table(spark, directory, "chunk_record", "pk", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_cleaned": p3_cleaned,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p6_found": p6_found,
 }

@@ -37,7 +37,27 @@ SELECT rec_table, pk_a, pk_b FROM hit LEFT JOIN class u ON u.pk = pk_a LEFT JOIN
 WHERE rec_table = 'document_record' OR u.k IS NULL OR v.k IS NULL OR u.k <> v.k
 """
 
+_P3 = r"""
+WITH d AS (SELECT DISTINCT pk, crate, text_content AS text FROM document_record),
+l AS (SELECT pk, crate, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM d),
+n AS (SELECT pk, crate, line_no, raw, lower(trim(regexp_replace(raw, '[ \t]+', ' ', 'g'))) AS line FROM l),
+p AS (SELECT crate, count(DISTINCT pk) AS pages FROM d GROUP BY crate),
+k AS (SELECT crate, line FROM n JOIN p USING (crate) WHERE length(line) >= 15 GROUP BY crate, line, pages HAVING count(DISTINCT pk) >= 8 AND count(DISTINCT pk) >= 0.05 * pages)
+"""
+P3_FOUND = _P3 + "SELECT pk, line_no FROM n JOIN k USING (crate, line)"
+P3_CLEANED = _P3 + """
+SELECT pk, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE k.line IS NULL), '') AS text, count(k.line) AS removed
+FROM n LEFT JOIN k USING (crate, line) GROUP BY pk"""
+
+P4_FOUND = """
+SELECT DISTINCT 'document_record' AS rec_table, pk FROM document_record WHERE length(text_content) > 1400
+UNION ALL SELECT DISTINCT 'chunk_record', pk FROM chunk_record WHERE length(text) > 1400
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": P1_FOUND,
+    "p3_found": P3_FOUND,
+    "p3_cleaned": P3_CLEANED,
+    "p4_found": P4_FOUND,
     "p6_found": P6_FOUND,
 }
