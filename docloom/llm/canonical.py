@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from docloom.runtime import latest_delivery, materialize, shared_dir
 
-FIELD_PART = r"^[A-Za-z_ \t]*[A-Za-z_][A-Za-z_ \t]*:[\s\S]*\S[\s\S]*$"
+FIELD_PART = r"^[ \t]*[A-Za-z_][A-Za-z_ \t]*:\s*\S"
+#: What a field record begins with; it costs one look at the first words of other texts.
+FIRST_PART = r"^[\s;|]*[A-Za-z_][A-Za-z_ \t]*:"
 
 
 def reduced(text: Column) -> Column:
@@ -42,8 +44,7 @@ def field_key(text: Column) -> Column:
     """Key of the sorted reduced parts of a field record; null for any other text."""
     parts = F.filter(F.split(text, r"[\n;|]"), lambda p: p.rlike(r"\S"))
     is_record = (F.size(parts) >= 3) & F.forall(parts, lambda p: p.rlike(FIELD_PART))
-    likely = text.rlike(r":[\s\S]*[\n;|][\s\S]*:[\s\S]*[\n;|][\s\S]*:")
-    return F.when(likely & is_record, key128(F.concat_ws("\u0000", F.array_sort(F.transform(parts, reduced)))))
+    return F.when(text.rlike(FIRST_PART) & is_record, key128(F.concat_ws("\u0000", F.array_sort(F.transform(parts, reduced)))))
 
 
 def with_canonical_key(rows: DataFrame, plain: str, fields: str, out: str) -> DataFrame:
