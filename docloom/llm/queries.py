@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import canonical, lines, neardup, split
+from docloom.llm import canonical, leaks, lines, neardup, neighbours, split
 from docloom.runtime import read_table
 
 
@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.near_pairs(documents, read_table(spark, directory, "chunk_record", "pk", "text"), NEAR)
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    points = read_table(spark, directory, "vector_point").selectExpr("chunk_id AS id", "vector")
+    probes = read_table(spark, directory, "probe_point").selectExpr("chunk_id AS id")
+    return neighbours.search(points, probes).selectExpr("query AS chunk_id", "neighbour AS neighbour_id")
+
+
 def _pages(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "document_record").selectExpr("pk AS doc", "crate AS source", "text_content AS text")
 
@@ -49,11 +55,24 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.hidden_copies(read_table(spark, directory, "chunk_record", "pk", "text"))
 
 
+def p8_leaks(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "documents").selectExpr("doc_id AS doc", "text")
+    passages = read_table(spark, directory, "eval_passage").selectExpr("item_id AS item", "passage AS text")
+    return leaks.leaks(documents, passages).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p8_leaks(spark, directory).filter("longest >= 12").select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
 }

@@ -37,6 +37,16 @@ SELECT rec_table, pk_a, pk_b FROM hit LEFT JOIN class u ON u.pk = pk_a LEFT JOIN
 WHERE rec_table = 'document_record' OR u.k IS NULL OR v.k IS NULL OR u.k <> v.k
 """
 
+P2_FOUND = """
+WITH v AS (
+  SELECT DISTINCT chunk_id, vector::DOUBLE[] AS x FROM vector_point
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda e: isnan(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0),
+s AS (
+  SELECT q.chunk_id, v.chunk_id AS neighbour_id, list_cosine_similarity(q.x, v.x) AS c
+  FROM (SELECT DISTINCT chunk_id FROM probe_point) JOIN v q USING (chunk_id) JOIN v ON v.chunk_id <> q.chunk_id)
+SELECT chunk_id, neighbour_id FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY c DESC, neighbour_id) <= 10
+"""
+
 _P3 = r"""
 WITH d AS (SELECT DISTINCT pk, crate, text_content AS text FROM document_record),
 l AS (SELECT pk, crate, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM d),
@@ -54,10 +64,20 @@ SELECT DISTINCT 'document_record' AS rec_table, pk FROM document_record WHERE le
 UNION ALL SELECT DISTINCT 'chunk_record', pk FROM chunk_record WHERE length(text) > 1400
 """
 
+P8_FOUND = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(passage), '[a-z0-9]+') AS w FROM eval_passage),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+es AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM ds JOIN es USING (s)
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": P1_FOUND,
+    "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
     "p3_cleaned": P3_CLEANED,
     "p4_found": P4_FOUND,
     "p6_found": P6_FOUND,
+    "p8_found": P8_FOUND,
 }
