@@ -1,14 +1,16 @@
 """Problem 2: the most similar vectors, by an inverted file with product-quantised residuals and exact reranking.
 
 Fit (driver, bounded sample): k-means centroids of unit vectors, and for each of ``parts`` slices of the residuals a
-codebook of 256 words. Every usable row is then indexed: its list is the nearest centroid, its code the nearest words.
-
-Search: a query visits the ``probe_share`` of lists nearest to it. For each visited list an asymmetric distance table
-(query slice times codeword) scores all codes; rows that score as well as the ``rerank``-th best, ties included, are
-reranked by their exact cosine within the same task, and only the best ``k`` of each task are shuffled.
-
-Lists and the queries that visit them are cut into blocks of bounded size, so neither a list with a third of all rows
-nor one that every query visits meets in one task. Only list counts (at most ``max_lists`` rows) reach the driver.
+codebook of 256 words. Every usable row is then indexed: its list is the nearest centroid, its code the nearest words,
+kept with the length of what the code leaves. The index is a table sorted by list and range-partitioned by (list, id),
+so a list that holds a third of all rows is spread over many files.
+
+Search: queries are taken in passes of bounded size, whose vectors are broadcast. A query visits the ``probe_share`` of
+lists nearest to it. Asymmetric distance tables (query slice times codeword) score the codes of a visited list; a row
+whose score, with ``slack`` standard deviations of its quantisation error, can reach the query's bound is reranked by
+its exact cosine in the same task. The bound is the similarity of the k-th best row of the fit sample, which the k-th
+best of all rows can't be below; a query that finds fewer than k rows over it has missed a list and visits all of them.
+Only the best ``k`` of each task are shuffled; nothing grows on the driver.
 """
 
 from __future__ import annotations
@@ -35,9 +37,9 @@ class IndexSettings:
     max_lists: int = 2048
     probe_share: float = 0.4
     min_probes: int = 64
-    rerank: int = 128
-    block: int = 8192
-    query_block: int = 1024
+    slack: float = 5.0
+    query_block: int = 512
+    pass_size: int = 32_768
     rounds: int = 8
 
 
@@ -83,13 +85,17 @@ def fit(sample: np.ndarray, lists: int, settings: IndexSettings) -> Codebooks:
     return Codebooks(centroids, np.stack([kmeans(few[:, p * width : (p + 1) * width], 256, settings.rounds, 2 + p) for p in range(settings.parts)]))
 
 
-def encode(x: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
-    """(list, codes) of unit vectors."""
+def encode(x: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, codes, length of the error) of unit vectors."""
     label = nearest(x, books.centroids)
     rest = x - books.centroids[label]
     width = rest.shape[1] // len(books.words)
-    codes = [nearest(rest[:, p * width : (p + 1) * width], w).astype(np.uint8) for p, w in enumerate(books.words)]
-    return label, np.stack(codes, axis=1)
+    codes, left = [], np.zeros(len(x))
+    for p, w in enumerate(books.words):
+        part = rest[:, p * width : (p + 1) * width]
+        codes.append(nearest(part, w).astype(np.uint8))
+        left += ((part - w[codes[-1]]) ** 2).sum(axis=1)
+    return label, np.stack(codes, axis=1), np.sqrt(left).astype(np.float32)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -112,51 +118,74 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def block_scores(queries: np.ndarray, codes: np.ndarray, books: Codebooks, label: int) -> np.ndarray:
-    """(queries, rows) asymmetric inner products with the coded rows of one list."""
-    parts, width = len(books.words), queries.shape[1] // len(books.words)
-    scores = np.repeat((queries @ books.centroids[label])[:, None], len(codes), axis=1).astype(np.float32)
-    for p in range(parts):
-        table = (queries[:, p * width : (p + 1) * width] @ books.words[p].T).astype(np.float32)
-        scores += np.take(table, codes[:, p], axis=1)
-    return scores
-
-
-def _search_block(settings: IndexSettings, shared):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query", "neighbour", "similarity"]
-        kinds = [pa.string(), pa.string(), pa.float64()]
-        out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            books: Codebooks = shared.value
-            label = left.column("list")[0].as_py()
-            ids = left.column("id").combine_chunks()
-            rows = _unit(_matrix(left.column("vector"), settings.dim))
-            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(rows), settings.parts)
-            order = np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")
-            rank_of = np.empty(len(order), np.int64)
-            rank_of[order] = np.arange(len(order))
-            query_ids = right.column("query").combine_chunks()
-            queries = _unit(_matrix(right.column("vector"), settings.dim))
-            for lo in range(0, len(queries), 64):
-                part = queries[lo : lo + 64]
-                scores = block_scores(part.astype(np.float32), codes, books, label)
-                if len(rows) > settings.rerank:
-                    floor = np.partition(scores, len(rows) - settings.rerank, axis=1)[:, len(rows) - settings.rerank]
-                    q, r = np.nonzero(scores >= floor[:, None] - 1e-6)
-                else:
-                    q, r = (a.ravel() for a in np.indices(scores.shape))
+def tables(queries: np.ndarray, books: Codebooks) -> np.ndarray:
+    """(parts, queries, 256) asymmetric distance tables: the inner product of each slice of a query with each codeword."""
+    width = queries.shape[1] // len(books.words)
+    return np.stack([queries[:, p * width : (p + 1) * width] @ w.T for p, w in enumerate(books.words)])
+
+
+@dataclass(frozen=True)
+class Pass:
+    """One pass of queries: at most about ``pass_size`` rows."""
+
+    ids: np.ndarray
+    vectors: np.ndarray  # (queries, dim) unit, float64
+    bound: np.ndarray  # similarity that a result must reach
+    reach: np.ndarray  # similarity of the last centroid that a query visits
+
+
+def _search(settings: IndexSettings, books, queries):
+    def batch_hits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asked: Pass = queries.value
+        cells: Codebooks = books.value
+        label = batch.column("list").to_numpy()
+        order = np.argsort(label, kind="stable")
+        label = label[order]
+        rows = _unit(_matrix(batch.column("vector"), settings.dim))[order]
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(order), settings.parts)[order]
+        slack = batch.column("error").to_numpy()[order] * np.float32(settings.slack / np.sqrt(settings.dim)) + np.float32(1e-5)
+        starts = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+        ends = np.append(starts[1:], len(label))
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(asked.ids), settings.query_block):
+            part = asked.vectors[lo : lo + settings.query_block]
+            part32 = part.astype(np.float32)
+            bound = asked.bound[lo : lo + settings.query_block]
+            coarse = part32 @ cells.centroids[label[starts]].T
+            visiting = coarse >= asked.reach[lo : lo + settings.query_block, None]
+            lookup = tables(part32, cells)
+            for k in range(len(starts)):
+                who = np.flatnonzero(visiting[:, k])
+                if not len(who):
+                    continue
+                s, e = starts[k], ends[k]
+                score = np.add.outer(coarse[who, k] - bound[who], slack[s:e])
+                for p in range(settings.parts):
+                    score += lookup[p][who[:, None], codes[s:e, p][None, :]]
+                q, r = np.nonzero(score >= 0)
+                if not len(q):
+                    continue
+                q, r = who[q], r + s
                 exact = np.einsum("ij,ij->i", part[q], rows[r])
-                own = np.array(query_ids.take(pa.array(q + lo)).to_pylist(), dtype=object) == np.array(ids.take(pa.array(r)).to_pylist(), dtype=object)
-                q, r, exact = q[~own], r[~own], exact[~own]
-                best = np.lexsort((rank_of[r], -exact, q))
-                q, r, exact = q[best], r[best], exact[best]
-                place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-                keep = place < settings.k
-                out.append((query_ids.take(pa.array(q[keep] + lo)), ids.take(pa.array(r[keep])), exact[keep]))
-        if not out:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
-        return pa.Table.from_arrays([pa.concat_arrays([o[0].cast(pa.string()) for o in out]), pa.concat_arrays([o[1].cast(pa.string()) for o in out]), pa.array(np.concatenate([o[2] for o in out]))], names=names)
+                good = exact >= bound[q] - 1e-9
+                hits.append((q[good] + lo, order[r[good]], exact[good]))
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*hits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, r, exact = batch_hits(batch)
+            ids = np.array(batch.column("id").to_pylist(), dtype=object)
+            other = ids[r] != queries.value.ids[q]
+            q, r, exact = q[other], r[other], exact[other]
+            place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            best = np.lexsort((place[r], -exact, q))
+            q, r, exact = q[best], r[best], exact[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q, side="left") < settings.k
+            yield pa.RecordBatch.from_arrays([pa.array(queries.value.ids[q[keep]], pa.string()), pa.array(ids[r[keep]], pa.string()), pa.array(exact[keep])], names=["query", "neighbour", "similarity"])
 
     return run
 
@@ -168,54 +197,66 @@ def search(points: DataFrame, queries: DataFrame, settings: IndexSettings = Inde
     no part on either side; a repeated id counts once, with its smallest vector if they differ; a repeated query counts
     once; a query that isn't a point gives no rows; ties go to the smaller id; with fewer than k + 1 points all others
     come out; an empty table gives an empty result; other columns are ignored."""
-    spark = points.sparkSession
-    dim = settings.dim
-    vectors = points.filter(F.col("id").isNotNull() & usable(F.col("vector"), dim)).groupBy("id").agg(F.min("vector").alias("vector"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("id"), _binary(_rows_of(b.column("vector"), dim))], names=["id", "vector"])
-
-    packed = materialize(vectors.mapInArrow(pack, "id string, vector binary"), "p2-vectors")
-    total = packed.count()
-    lists = int(min(settings.max_lists, max(1, 2 ** round(np.log2(max(total, 1)) / 2))))
-    wanted = max(settings.sample, 16 * lists)
-    bound = int(min(1.0, wanted / max(total, 1)) * ((1 << 62) - 1))
-    sampled = packed.filter(F.shiftrightunsigned(F.xxhash64("id"), 2) <= bound).limit(2 * wanted).select("vector").toArrow()
+    spark, dim = points.sparkSession, settings.dim
+    points = points.filter(F.col("id").isNotNull() & usable(F.col("vector"), dim)).select("id", "vector")
+    total = points.count()
     if not total:
         return spark.createDataFrame([], "query string, neighbour string, similarity double, rank int")
-    books = fit(_unit(_matrix(sampled.column("vector"), dim)).astype(np.float32), lists, settings)
-    shared = spark.sparkContext.broadcast(books)
+    lists = int(min(settings.max_lists, max(1, 2 ** round(np.log2(total) / 2))))
+    wanted = max(settings.sample, 16 * lists)
+    share = int(min(1.0, wanted / total) * ((1 << 62) - 1))
+    # repeated deliveries have one hash, so they are in the sample together and are made one there
+    sampled = points.filter(F.shiftrightunsigned(F.xxhash64("id"), 2) <= share).groupBy("id").agg(F.min("vector").alias("vector")).select("vector").toArrow()
+    sample = _unit(_rows_of(sampled.column("vector").combine_chunks(), dim)).astype(np.float32)
+    books = spark.sparkContext.broadcast(fit(sample, lists, settings))
+    seen = spark.sparkContext.broadcast(sample)
     visits = min(lists, max(settings.min_probes, int(np.ceil(lists * settings.probe_share))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                label, codes = encode(_unit(_matrix(part.column("vector"), dim)).astype(np.float32), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), pa.array(label.astype(np.int32)), _binary(codes)], names=["id", "vector", "list", "codes"])
+                rows = _rows_of(part.column("vector"), dim)
+                label, codes, error = encode(_unit(rows).astype(np.float32), books.value)
+                yield pa.RecordBatch.from_arrays([part.column("id"), _binary(rows), pa.array(label.astype(np.int32)), _binary(codes), pa.array(error)], names=["id", "vector", "list", "codes", "error"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                near = _unit(_matrix(part.column("vector"), dim)).astype(np.float32) @ shared.value.centroids.T
-                label = np.argpartition(-near, visits - 1, axis=1)[:, :visits]
-                again = pa.array(np.repeat(np.arange(part.num_rows), visits))
-                yield pa.RecordBatch.from_arrays([part.column("query").take(again), part.column("vector").take(again), pa.array(label.ravel().astype(np.int32))], names=["query", "vector", "list"])
-
-    indexed = packed.mapInArrow(index, "id string, vector binary, list int, codes binary")
-    asked = queries.select(F.col("id").alias("query")).distinct().join(packed, F.col("query") == F.col("id")).select("query", "vector")
-    visiting = asked.mapInArrow(visit, "query string, vector binary, list int")
-    indexed, visiting = materialize(indexed, "p2-index"), materialize(visiting, "p2-visits")
-    # one row for each list on either side: bounded by max_lists
-    rows = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("row_blocks"))
-    asks = visiting.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.query_block).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(rows.join(asks, "list"))
-    left = indexed.join(blocks, "list").withColumn("rb", F.pmod(F.xxhash64("id"), F.col("row_blocks")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-    right = visiting.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("query_blocks")).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
-    key = ["list", "rb", "qb"]
-    found = left.select(*key, "id", "vector", "codes").groupBy(*key).cogroup(right.select(*key, "query", "vector").groupBy(*key)).applyInArrow(_search_block(settings, shared), "query string, neighbour string, similarity double")
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                rows = _unit(_matrix(part.column("vector"), dim)).astype(np.float32)
+                near = rows @ books.value.centroids.T
+                reach = np.partition(near, lists - visits, axis=1)[:, lists - visits]
+                like = rows @ seen.value.T
+                # the query itself may be in the sample, so one more than k
+                n = like.shape[1] - settings.k - 1
+                bound = np.partition(like, n, axis=1)[:, n] if n >= 0 else np.full(len(rows), -2.0)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), pa.array((bound - 1e-5).astype(np.float32)), pa.array((reach - 1e-6).astype(np.float32))], names=["id", "vector", "bound", "reach"])
+
+    vectors = points.groupBy("id").agg(F.min("vector").alias("vector"))
+    indexed = vectors.mapInArrow(index, "id string, vector binary, list int, codes binary, error float")
+    indexed = materialize(indexed.repartitionByRange("list", "id").sortWithinPartitions("list", "id"), "p2-index")
+    asked = indexed.select("id", "vector").join(queries.select("id").distinct(), "id", "left_semi")
+    asked = materialize(asked.mapInArrow(ask, "id string, vector binary, bound float, reach float"), "p2-queries")
+    found = materialize(_best(indexed, asked, books, settings), "p2-found")
+    # fewer than k results at or over the bound prove that a list was missed: these queries visit all lists
+    full = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(settings.k, total - 1)).select(F.col("query").alias("id"))
+    short = materialize(asked.join(full, "id", "left_anti").withColumn("reach", F.lit(-2.0).cast("float")), "p2-short")
+    again = _best(indexed, short, books, settings)
+    return found.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(again)
+
+
+def _best(indexed: DataFrame, asked: DataFrame, books, settings: IndexSettings) -> DataFrame:
+    """(query, neighbour, similarity, rank) over the index, queries in passes by a hash of their id."""
+    spark = indexed.sparkSession
+    passes = -(-asked.count() // settings.pass_size)
+    found = None
+    for k in range(passes):
+        table = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).orderBy("id").toArrow()
+        one = Pass(np.array(table.column("id").to_pylist(), dtype=object), _unit(_matrix(table.column("vector"), settings.dim)), table.column("bound").to_numpy(), table.column("reach").to_numpy())
+        part = indexed.mapInArrow(_search(settings, books, spark.sparkContext.broadcast(one)), "query string, neighbour string, similarity double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query string, neighbour string, similarity double, rank int")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.k)
