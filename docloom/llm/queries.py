@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import canonical, leaks, lines, neardup, neighbours, split
+from docloom.llm import canonical, garble, leaks, lines, neardup, neighbours, split
 from docloom.runtime import read_table
 
 
@@ -65,6 +65,15 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return p8_leaks(spark, directory).filter("longest >= 12").select("doc_id", "item_id")
 
 
+def p9_restored(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "documents").selectExpr("doc_id AS doc", "text")
+    return garble.find(documents).selectExpr("doc AS doc_id", "restored AS text", "restored <> text AS changed")
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p9_restored(spark, directory).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -75,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
