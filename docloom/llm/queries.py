@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import canonical, garble, leaks, lines, neardup, neighbours, split
+from docloom.llm import canonical, garble, leaks, lines, neardup, neighbours, packing, split
 from docloom.runtime import read_table
 
 
@@ -55,6 +55,11 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.hidden_copies(read_table(spark, directory, "chunk_record", "pk", "text"))
 
 
+def p7_packed(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "documents").selectExpr("doc_id AS doc", "text")
+    return packing.pack(documents).withColumnRenamed("doc", "doc_id")
+
+
 def p8_leaks(spark: SparkSession, directory: str) -> DataFrame:
     documents = read_table(spark, directory, "documents").selectExpr("doc_id AS doc", "text")
     passages = read_table(spark, directory, "eval_passage").selectExpr("item_id AS item", "passage AS text")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
+    "p7_packed": p7_packed,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
