@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import canonical, garble, leaks, lines, neardup, neighbours, packing, split
+from docloom.llm import canonical, garble, leaks, lines, mainbody, neardup, neighbours, packing, split
 from docloom.runtime import read_table
 
 
@@ -51,6 +51,14 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return p4_pieces(spark, directory).filter("piece_no > 0").select("rec_table", "pk").distinct()
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return mainbody.boilerplate_blocks(read_table(spark, directory, "document_record", "pk", "crate", "parsed_content"))
+
+
+def p5_main_body(spark: SparkSession, directory: str) -> DataFrame:
+    return mainbody.main_body(read_table(spark, directory, "document_record", "pk", "crate", "parsed_content"))
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.hidden_copies(read_table(spark, directory, "chunk_record", "pk", "text"))
 
@@ -86,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_main_body": p5_main_body,
     "p6_found": p6_found,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
