@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.runtime import latest_delivery, materialize, shared_dir
+from docloom.runtime import materialize, shared_dir
 
 FIELD_PART = r"^[ \t]*[A-Za-z_][A-Za-z_ \t]*:\s*\S"
 #: What a field record begins with; it costs one look at the first words of other texts.
@@ -52,7 +52,6 @@ def with_canonical_key(rows: DataFrame, plain: str, fields: str, out: str) -> Da
 
     Only field records can be linked by more than one key, so the label propagation runs over their distinct (plain,
     fields) pairs and ends when no label changes; each round's labels are a table in the shared folder."""
-    spark = rows.sparkSession
     edges = materialize(rows.filter(F.col(fields).isNotNull()).select(F.col(plain).alias("p"), F.col(fields).alias("f")).distinct(), "p6-edges")
     labels = edges.groupBy("p").agg(F.min("p").alias("label"))
     while True:
@@ -62,7 +61,6 @@ def with_canonical_key(rows: DataFrame, plain: str, fields: str, out: str) -> Da
         labels = fresh
         if not changed:
             break
-    del spark
     moved = labels.filter("label < p").select(F.col("p").alias("__p"), F.col("label").alias("__label"))
     return rows.join(moved, F.col(plain) == F.col("__p"), "left").withColumn(out, F.coalesce("__label", plain)).drop("__p", "__label")
 
@@ -119,7 +117,8 @@ class Ledger:
 def canonical_rows(rows: DataFrame, item: str, text: str) -> DataFrame:
     """(item, key) of every row, one row for each id; hidden copies have equal keys."""
     keyed = rows.select(F.col(f"`{item}`").alias("item"), plain_key(F.col(f"`{text}`")).alias("plain"), field_key(F.col(f"`{text}`")).alias("fields"))
-    keyed = materialize(latest_delivery(keyed, ["item"]), "p6-keys")
+    keyed = keyed.filter("item IS NOT NULL").groupBy("item").agg(F.min(F.struct("plain", "fields")).alias("k"))
+    keyed = materialize(keyed.select("item", "k.plain", "k.fields"), "p6-keys")
     return with_canonical_key(keyed, "plain", "fields", "key").select("item", "key")
 
 
@@ -127,7 +126,7 @@ def collapse(rows: DataFrame, item: str = "pk", text: str = "text", batches: int
     """(ledger, members): the ledger has one row for each group of hidden copies (key, copies, kept), the members each id with its key.
 
     The rows enter the ledger in ``batches`` batches by ranges of the id, as deliveries would. Defined cases: repeated
-    deliveries of an id count once (the smallest by content if their texts differ); a null text counts as empty; texts
+    deliveries of an id count once (by the smallest key if their texts differ); a row without an id takes no part; a null text counts as empty; texts
     without letters and digits are copies of each other; an empty table gives an empty ledger; other columns are not read."""
     members = materialize(canonical_rows(rows, item, text), "p6-members")
     ledger = Ledger(rows.sparkSession)

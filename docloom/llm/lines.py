@@ -60,11 +60,11 @@ def boilerplate(documents: DataFrame, support: Support = Support()) -> tuple[Dat
 
     blocks: source, node, line, support, block. occurrences: doc, source, line_no, block, one row for each.
 
-    Defined cases: a null text is an empty text, a null source is a source of its own; a repeated id counts once in all
+    Defined cases: a null text is an empty text, a null source is a source of its own, a row without an id takes no part; a repeated id counts once in all
     counts and gives each occurrence once; lines under the length limit are no nodes but part the lines around them;
     lines that occur twice in a document count once; ties don't matter, since nothing is ranked; an empty table has no
     blocks; other columns aren't read."""
-    documents = documents.select("doc", F.coalesce("source", F.lit("\u0000")).alias("source"), "text")
+    documents = documents.select("doc", F.coalesce("source", F.lit("\u0000")).alias("source"), "text").filter("doc IS NOT NULL")
     lines = _lines(documents)
     long_enough = F.length("line") >= support.characters
     pages = documents.select("source", "doc").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("pages"))

@@ -246,7 +246,7 @@ def _select(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.col("pk").cast("long"), F.coalesce("crate", F.lit("")).alias("crate"), F.col(f"{b}.block_type").alias("block_type"), F.col(f"{b}.html_tag").alias("html_tag"), F.col(f"{b}.text").alias("text"),
         F.col(f"{b}.heading_level").alias("heading_level"), F.transform(f"{b}.anchor", lambda a: a.isNotNull()).alias("anchor"), F.transform(f"{b}.section_path", lambda p: F.size(p)).alias("paths"),
-    ).filter(F.size("text") > 0)
+    ).filter((F.size("text") > 0) & F.col("pk").isNotNull())
 
 
 def _pages_of(batch: pa.RecordBatch | pa.Table) -> list[Page]:
@@ -276,7 +276,7 @@ def boilerplate_blocks(pages: DataFrame, settings: BodySettings = BodySettings()
     """(pk, block_no) of the blocks that aren't the subject of ``pages`` (pk, crate, parsed_content).
 
     Defined cases: a page without blocks (null or empty) has no rows; null texts, tags and types count as empty; a
-    repeated delivery counts once; a page of any length is decided as a whole; log odds of exactly 0 stay; an empty
+    repeated delivery counts once, and where deliveries differ the blocks of each count; a row without an id takes no part; a page of any length is decided as a whole; log odds of exactly 0 stay; an empty
     table gives an empty result; other columns are ignored."""
     spark = pages.sparkSession
     blocks = _select(pages)

@@ -103,8 +103,8 @@ def _sign(settings: Settings):
                 size = np.diff(np.append(starts, len(hashes))).astype(np.int32)
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * settings.hashes), len(sig), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("kind").take(rows), part.column("item").take(rows), pa.array(sums[0]), pa.array(sums[1]), pa.array(size), blob],
-                    names=["kind", "item", "set1", "set2", "size", "sig"],
+                    [*(part.column(c).take(rows) for c in ("kind", "item", "digest")), pa.array(sums[0]), pa.array(sums[1]), pa.array(size), blob],
+                    names=["kind", "item", "digest", "set1", "set2", "size", "sig"],
                 )
 
     return run
@@ -209,24 +209,26 @@ class Links:
 def link(records: DataFrame, settings: Settings | None = None) -> Links:
     """Links of ``records`` (kind int, item long, text string; ids are unique within a kind, kinds are compared apart).
 
-    Defined cases: a null, empty or short text has no set, is no member and matches nothing; a repeated id counts once
-    if its text is the same, else each text is a record of that id and links to itself are left out; the set of a long
-    text covers all of it; ties don't arise, as every pair at or over the threshold comes out; an empty table gives
-    empty results; other columns are ignored."""
+    Defined cases: a null, empty or short text has no set, is no member and matches nothing; a row without an id takes no
+    part; a repeated id counts once, with the text of the smallest hash if they differ; the set of a long text covers
+    all of it; ties don't arise, as every pair at or over the threshold comes out; an empty table gives empty results;
+    other columns are ignored."""
     settings = settings or Settings()
-    lowered = records.select(F.col("kind").cast("int"), F.col("item").cast("long"), F.lower("text").alias("text"))
-    signed = lowered.mapInArrow(_sign(settings), "kind int, item long, set1 long, set2 long, size int, sig binary")
+    lowered = records.select(F.col("kind").cast("int"), F.col("item").cast("long"), F.lower("text").alias("text")).filter("kind IS NOT NULL AND item IS NOT NULL")
+    lowered = lowered.withColumn("digest", F.xxhash64("text"))
+    signed = lowered.mapInArrow(_sign(settings), "kind int, item long, digest long, set1 long, set2 long, size int, sig binary")
+    signed = signed.groupBy("kind", "item").agg(F.min(F.struct("digest", "set1", "set2", "size", "sig")).alias("s")).select("kind", "item", "s.*")
     signed = materialize(signed, "p1-signatures")
     same = ["kind", "set1", "set2", "size"]
-    reps = materialize(signed.groupBy(*same).agg(F.min("item").alias("rep"), F.min("sig").alias("sig")), "p1-classes")
-    members = signed.select(*same, "item").distinct().join(reps.select(*same, "rep"), same).select("kind", "item", "rep")
+    reps = materialize(signed.groupBy(*same).agg(F.min("item").alias("rep"), F.min_by("digest", "item").alias("digest"), F.min("sig").alias("sig")), "p1-classes")
+    members = signed.select(*same, "item").join(reps.select(*same, "rep"), same).select("kind", "item", "rep")
 
-    numbered = reps.select("kind", (F.col("rep") * 2 + F.col("kind")).alias("rep"), "sig")
-    keys = numbered.mapInArrow(_band(settings), "key long, rep long")
+    numbered = reps.select("kind", (F.col("rep") * 2 + F.col("kind")).alias("rep"), "digest", "sig")
+    keys = numbered.select("kind", "rep", "sig").mapInArrow(_band(settings), "key long, rep long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialize(keys.join(counts, "key"), "p1-buckets")
     hot = met.filter(F.col("n") > settings.hot).select("key", "rep")
-    fine = hot.join(numbered, "rep").mapInArrow(_refine(settings), "key long, rep long")
+    fine = hot.join(numbered.select("kind", "rep", "sig"), "rep").mapInArrow(_refine(settings), "key long, rep long")
     buckets = met.filter(F.col("n") <= settings.hot).select("key", "rep").unionByName(fine)
     left, right = buckets.withColumnRenamed("rep", "rep_a"), buckets.withColumnRenamed("rep", "rep_b")
     candidates = materialize(left.join(right, "key").filter("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "p1-candidates")
@@ -237,7 +239,8 @@ def link(records: DataFrame, settings: Settings | None = None) -> Links:
     alive = materialize(with_sig.mapInArrow(_compare(settings), "rep_a long, rep_b long"), "p1-alive")
 
     wanted = alive.select(F.col("rep_a").alias("rep")).unionByName(alive.select(F.col("rep_b").alias("rep"))).distinct()
-    texts = lowered.select((F.col("item") * 2 + F.col("kind")).alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    wanted = wanted.join(numbered.select("rep", "digest"), "rep")
+    texts = lowered.select((F.col("item") * 2 + F.col("kind")).alias("rep"), "digest", "text").join(wanted, ["rep", "digest"], "left_semi").dropDuplicates(["rep"])
     texts = materialize(texts, "p1-texts")
     pairs = alive.join(texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
     pairs = pairs.join(texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")

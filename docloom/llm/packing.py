@@ -225,7 +225,7 @@ def pack(documents: DataFrame, settings: PackSettings = PackSettings()) -> DataF
 
     Only a text over the capacity is divided: into parts that fill a container each and a rest. Defined cases: a null or
     empty text and one without tokens takes no container and comes out with null container and position; a repeated id
-    counts once (by the smallest text if they differ); among equal lengths the smaller id comes first within its hash
+    counts once (by the fewest tokens if they differ); a row without an id takes no part; among equal lengths the smaller id comes first within its hash
     bucket; an empty table gives an empty result; other columns are ignored."""
     spark, capacity = documents.sparkSession, settings.capacity
 
@@ -235,7 +235,7 @@ def pack(documents: DataFrame, settings: PackSettings = PackSettings()) -> DataF
             tokens = tokens or counter(settings.tokenizer)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(tokens([t or "" for t in batch.column("text").to_pylist()]), pa.int64())], names=["doc", "n"])
 
-    counted = documents.select(F.col("doc").cast("long"), "text").mapInArrow(count, "doc long, n long")
+    counted = documents.select(F.col("doc").cast("long"), "text").filter("doc IS NOT NULL").mapInArrow(count, "doc long, n long")
     lengths = materialize(counted.groupBy("doc").agg(F.min("n").alias("n")), "p7-lengths")
     parts = lengths.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1))))
     items = parts.select("doc", F.col("part").cast("int").alias("part"), (F.col("part") * capacity).alias("start_token"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("int").alias("tokens"))

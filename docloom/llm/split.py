@@ -103,10 +103,11 @@ def split_texts(records: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     Result: kind, item, piece_no, piece_start, piece_end (in the text), start_offset, end_offset (continuing the
     record's start_offset, null where that is null), text. Texts within the limit, empty and null ones give no rows; a
-    repeated id counts once; ties don't arise; an empty table gives an empty result; other columns are ignored. Ranges
+    repeated id counts once, with its smallest text if they differ; a row without an id takes no part; ties don't arise; an empty table gives an empty result; other columns are ignored. Ranges
     of one giant text are spread over tasks before they are cut."""
     size, span = limits.size, limits.span
-    long = records.select("kind", "item", F.col("start_offset").cast("long").alias("base"), "text").filter(F.length("text") > size).dropDuplicates(["kind", "item"])
+    long = records.select("kind", "item", F.col("start_offset").cast("long").alias("base"), "text").filter((F.length("text") > size) & F.col("kind").isNotNull() & F.col("item").isNotNull())
+    long = long.groupBy("kind", "item").agg(F.min(F.struct("text", "base")).alias("r")).select("kind", "item", "r.base", "r.text")
     n = F.length("text")
     # a rest shorter than a piece belongs to the range before it
     ranges = F.greatest(F.lit(1), F.floor((n - size) / span).cast("int") + 1)
