@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.ranking import ranked
 
-def fixed_batches(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """Adds ``batch_no`` from 0: ``size`` rows a batch in order within each key."""
+
+def fixed_batches(df: DataFrame, keys: list[str], order: str, size: int, stretch: int = 1 << 16) -> DataFrame:
+    """Adds ``batch_no`` from 0: ``size`` rows a batch by the number ``order`` within each key. Ranks are taken in stretches of ``order``, so a key of any size is spread over tasks."""
     if size < 1:
         raise ValueError("a batch holds at least one row")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("batch_no", F.floor(rank / size).cast("int"))
+    numbered = ranked(df, keys, F.floor(F.col(order) / stretch), [order], "__rank")
+    return numbered.withColumn("batch_no", F.floor(F.col("__rank") / size)).drop("__rank")
 
 
 def capped(counts: Iterable[int | None], max_items: int, max_tokens: int) -> Iterator[int]:

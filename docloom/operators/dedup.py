@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.ids import chunk_id, document_id
 from docloom.functions.text import text_hash
+from docloom.operators.ranking import ranked
 from docloom.runtime import unused_name
 
 
@@ -59,11 +60,6 @@ def reindex(chunks: DataFrame) -> DataFrame:
     stretch = F.when(F.col("start_offset").isNull(), F.struct(F.lit(0).alias("known"), F.floor(F.col("chunk_index") / STRETCH_ROWS).alias("at"))).otherwise(
         F.struct(F.lit(1).alias("known"), F.floor(F.col("start_offset") / STRETCH_CHARS).alias("at"))
     )
-    rows = chunks.withColumn("__stretch", stretch)
-    within = Window.partitionBy("source_path", "__stretch").orderBy("start_offset", "end_offset", "chunk_index")
-    counts = rows.groupBy("source_path", "__stretch").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("source_path").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source_path", "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__rank", F.row_number().over(within) - 1).join(counts, ["source_path", "__stretch"])
-    ranked = ranked.withColumn("chunk_index", (F.col("__rank") + F.col("__before")).cast("int")).withColumn("document_id", document_id(F.col("source_path")))
-    return ranked.withColumn("id", chunk_id(F.col("document_id"), F.col("chunk_index"))).select(*chunks.columns, *[c for c in ("document_id", "id") if c not in chunks.columns])
+    numbered = ranked(chunks.withColumn("source_path", F.coalesce("source_path", F.lit(""))), ["source_path"], stretch, ["start_offset", "end_offset", "chunk_index"], "__rank")
+    numbered = numbered.withColumn("chunk_index", F.col("__rank").cast("int")).withColumn("document_id", document_id(F.col("source_path")))
+    return numbered.withColumn("id", chunk_id(F.col("document_id"), F.col("chunk_index"))).select(*chunks.columns, *[c for c in ("document_id", "id") if c not in chunks.columns])

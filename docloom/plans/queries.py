@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import metadata, selection, text
 from docloom.functions.ids import chunk_id, document_id
-from docloom.operators import batching, dedup, evaluate, prompt, rerank, search
+from docloom.operators import batching, dedup, evaluate, prompt, ranking, rerank, search
 from docloom.operators.chunking import chunk_documents, clean_documents, split_messages
 from docloom.operators.parse import parse_pages
 from docloom.runtime import read_table
@@ -198,9 +198,10 @@ def changelog_stubs(spark, directory):
 
 def lone_headings(spark, directory):
     rows = chunks(spark, directory).select("pk", "document_pk", "chunk_index", "section_path", text.is_heading_only(c("text"), c("section_path")).alias("lone"))
-    order = Window.partitionBy("document_pk").orderBy("chunk_index", "pk")
-    near = F.coalesce(F.lag("section_path").over(order) == c("section_path"), F.lit(False)) | F.coalesce(F.lead("section_path").over(order) == c("section_path"), F.lit(False))
-    return rows.withColumn("near", near).filter("lone").select("pk", "near")
+    rows = ranking.ranked(rows, ["document_pk"], F.floor(c("chunk_index") / 4096), ["chunk_index", "pk"])
+    rows = ranking.with_neighbours(rows, ["document_pk"], "rank", "section_path").filter("lone")
+    near = F.coalesce(c("before") == c("section_path"), F.lit(False)) | F.coalesce(c("after") == c("section_path"), F.lit(False))
+    return rows.select("pk", near.alias("near"))
 
 
 def block_sections(spark, directory):
@@ -229,9 +230,8 @@ def message_parts(spark, directory):
 
 
 def numbered_batches(spark, directory):
-    rows = chunks(spark, directory).select("pk")
-    crates = chunks_of_documents(spark, directory).select("pk", "document_pk")
-    return batching.fixed_batches(crates.join(rows, "pk"), ["document_pk"], ["pk"], 32).select("pk", c("batch_no").cast("long").alias("batch_no"))
+    rows = chunks_of_documents(spark, directory).select("pk", "document_pk")
+    return batching.fixed_batches(rows, ["document_pk"], "pk", 32).select("pk", "batch_no")
 
 
 def token_capped_batches(spark, directory):

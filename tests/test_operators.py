@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import batching, dedup, embed, evaluate, prompt, rerank, search
+from docloom.operators import batching, dedup, embed, evaluate, prompt, ranking, rerank, search
 
 CHUNK = "crate string, source_path string, chunk_index int, text string, start_offset int, end_offset int, section_path array<string>, rank int, id2 string"
 
@@ -99,12 +99,12 @@ def test_prompts(spark):
 def test_batches(spark):
     assert list(batching.capped([5, 5, 1, None, 100, 1], 3, 10)) == [0, 0, 1, 1, 2, 3] and list(batching.capped([], 1, 1)) == []
     df = spark.createDataFrame([(k, k % 2, None if k == 7 else 10) for k in range(10)], "id int, k int, token_count int").coalesce(1)
-    fixed = batching.fixed_batches(df, ["k"], ["id"], 2).orderBy("k", "id").collect()
+    fixed = batching.fixed_batches(df, ["k"], "id", 2, stretch=3).orderBy("k", "id").collect()
     assert [r.batch_no for r in fixed] == [0, 0, 1, 1, 2] * 2
     totals = batching.batch_totals(batching.token_batches(df, max_items=4, max_tokens=30)).collect()
     assert sum(r["items"] for r in totals) == 10 and sum(r.tokens is None for r in totals) == 1 and all(r["items"] <= 4 for r in totals)
     with pytest.raises(ValueError):
-        batching.fixed_batches(df, ["k"], ["id"], 0)
+        batching.fixed_batches(df, ["k"], "id", 0)
 
 
 def test_embedding(spark):
@@ -139,3 +139,14 @@ def test_first_ranks_and_metrics(spark):
     assert {r.case_id: r.change for r in evaluate.compare(ranks, other).collect()} == {"c1": "improved", "c2": "regressed", "c3": "same", "c4": "improved"}
     nothing = evaluate.summary(ranks.filter("false")).first()
     assert nothing.total == 0 and nothing.hit_rate == 0.0 and nothing.mrr == 0.0
+
+
+def test_ranks_and_neighbours_in_stretches(spark):
+    rows = [("a", k, f"v{k}") for k in range(0, 200, 3)] + [("b", 5, "x"), (None, 1, "n"), (None, 2, "m")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "g string, at int, v string, stretch int")
+    got = ranking.ranked(df, ["g"], F.floor(F.col("at") / 10), ["at"])
+    want = {("a", 3 * k): k for k in range(67)} | {("b", 5): 0, (None, 1): 0, (None, 2): 1}
+    assert {(r.g, r.at): r["rank"] for r in got.collect()} == want and got.columns == ["g", "at", "v", "stretch", "rank"]
+    near = {r.at: (r.before, r.after) for r in ranking.with_neighbours(got, ["g"], "rank", "v").filter("g = 'a'").collect()}
+    assert near[0] == (None, "v3") and near[99] == ("v96", "v102") and near[198] == ("v195", None)
+    assert ranking.ranked(df.filter("false"), ["g"], F.col("at"), ["at"]).count() == 0
