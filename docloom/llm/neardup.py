@@ -206,6 +206,21 @@ class Links:
     pairs: DataFrame
 
 
+#: Ids with differing texts up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 50_000
+
+
+def _one_text(signed: DataFrame) -> DataFrame:
+    """Rows of the smallest digest of each id. Only ids are aggregated; signatures move only if there are ids with differing texts."""
+    differing = signed.groupBy("kind", "item").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least < most")
+    differing = materialize(differing.select("kind", "item", "least"), "p1-differing")
+    n = differing.count()
+    if not n:
+        return signed
+    small = F.broadcast(differing) if n <= BROADCAST_ROWS else differing
+    return signed.join(small, ["kind", "item"], "left").filter("least IS NULL OR digest = least").drop("least")
+
+
 def link(records: DataFrame, settings: Settings | None = None) -> Links:
     """Links of ``records`` (kind int, item long, text string; ids are unique within a kind, kinds are compared apart).
 
@@ -217,11 +232,10 @@ def link(records: DataFrame, settings: Settings | None = None) -> Links:
     lowered = records.select(F.col("kind").cast("int"), F.col("item").cast("long"), F.lower("text").alias("text")).filter("kind IS NOT NULL AND item IS NOT NULL")
     lowered = lowered.withColumn("digest", F.xxhash64("text"))
     signed = lowered.mapInArrow(_sign(settings), "kind int, item long, digest long, set1 long, set2 long, size int, sig binary")
-    signed = signed.groupBy("kind", "item").agg(F.min(F.struct("digest", "set1", "set2", "size", "sig")).alias("s")).select("kind", "item", "s.*")
-    signed = materialize(signed, "p1-signatures")
+    signed = _one_text(materialize(signed, "p1-signatures"))
     same = ["kind", "set1", "set2", "size"]
     reps = materialize(signed.groupBy(*same).agg(F.min("item").alias("rep"), F.min_by("digest", "item").alias("digest"), F.min("sig").alias("sig")), "p1-classes")
-    members = signed.select(*same, "item").join(reps.select(*same, "rep"), same).select("kind", "item", "rep")
+    members = signed.select(*same, "item").distinct().join(reps.select(*same, "rep"), same).select("kind", "item", "rep")
 
     numbered = reps.select("kind", (F.col("rep") * 2 + F.col("kind")).alias("rep"), "digest", "sig")
     keys = numbered.select("kind", "rep", "sig").mapInArrow(_band(settings), "key long, rep long")

@@ -76,6 +76,15 @@ def test_copies_are_one_class_and_nulls_match_nothing(spark):
     assert links.pairs.count() == 0
 
 
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_differing_deliveries_count_once(spark, monkeypatch, bound):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", bound)
+    a, b = " ".join(W[:60]), " ".join(W[100:160])
+    links = linked(spark, [(1, a), (1, b), (2, a), (3, b)], neardup.Settings())
+    rep = {r.item: r.rep for r in links.members.collect()}
+    assert links.members.count() == 3 and (rep[1] == rep[2]) != (rep[1] == rep[3])
+
+
 def test_empty_table_and_long_text(spark):
     empty = spark.createDataFrame([], "kind int, item long, text string")
     links = neardup.link(empty)
