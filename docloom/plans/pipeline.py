@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from docloom.operators.embed import Embedder, embed
 from docloom.operators.parse import parse_pages
 from docloom.operators.prompt import prompts, within_budget
 from docloom.operators.rerank import Reranker, rerank
+from docloom.operators.tokens import with_token_counts
 from docloom.sources.files import discover
 from docloom.sources.store import KnowledgeBase
 
@@ -35,10 +38,26 @@ class Settings:
     def __post_init__(self) -> None:
         if not 1 <= self.reranking_limit <= self.retrieval_limit <= 100:
             raise ValueError("limits must be from 1 to 100, the reranking limit no more than the retrieval limit")
+        if self.distance not in search.DISTANCES:
+            raise ValueError(f"unknown distance {self.distance!r}")
         if min(self.max_chunk_chars, self.min_chunk_chars, self.max_query_tokens, self.max_context_tokens) < 1:
             raise ValueError("sizes must be positive")
 
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "DOCLOOM_") -> Settings:
+        """Settings from variables such as DOCLOOM_RETRIEVAL_LIMIT; a value that isn't of its setting's type is an error that names it."""
+        env, found = os.environ if env is None else env, {}
+        for f in fields(cls):
+            if (value := env.get(prefix + f.name.upper())) is None:
+                continue
+            try:
+                found[f.name] = type(f.default)(value)
+            except (TypeError, ValueError):
+                raise ValueError(f"{prefix}{f.name.upper()}={value!r} is no {type(f.default).__name__}") from None
+        return cls(**found)
+
+
 @dataclass
 class Artifacts:
     """A DataFrame for each stage that was asked for; nothing runs before it is used."""
@@ -89,9 +108,10 @@ def ingest_documents(documents: DataFrame, stage: str = "all", settings: Setting
     return out
 
 
-def rebuild(base: KnowledgeBase, artifacts: Artifacts, embedder: Embedder | None = None) -> str:
-    """Counts tokens, embeds and replaces the store; vectors are made before anything is replaced."""
-    chunks = artifacts.stages["chunk_dedup"].withColumn("token_count", token_count(F.col("text")))
+def rebuild(base: KnowledgeBase, artifacts: Artifacts, embedder: Embedder | None = None, tokenizer: str | None = None) -> str:
+    """Counts tokens (with a tokenizer's file if one is named), embeds and replaces the store; vectors are made before anything is replaced."""
+    chunks = artifacts.stages["chunk_dedup"]
+    chunks = with_token_counts(chunks, tokenizer) if tokenizer else chunks.withColumn("token_count", token_count(F.col("text")))
     vectors = embed(chunks.select(F.col("id").alias("chunk_id"), "text"), embedder).drop("text")
     return base.replace(artifacts.stages["dedup"], chunks, vectors)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators.chunking import chunk_documents
+from docloom.operators.tokens import with_token_counts
 from docloom.plans import pipeline
 from docloom.plans.queries import QUERIES
 from docloom.plans.sql import ORACLE
@@ -75,6 +76,37 @@ def test_options():
         pipeline.Settings(retrieval_limit=5, reranking_limit=6)
 
 
+def test_settings_from_the_environment():
+    got = pipeline.Settings.from_env({"DOCLOOM_RETRIEVAL_LIMIT": "30", "DOCLOOM_DISTANCE": "dot", "OTHER": "x"})
+    assert got == pipeline.Settings(retrieval_limit=30, distance="dot")
+    for bad in ({"DOCLOOM_RETRIEVAL_LIMIT": "many"}, {"DOCLOOM_RETRIEVAL_LIMIT": "0"}, {"DOCLOOM_DISTANCE": "far"}):
+        with pytest.raises(ValueError):
+            pipeline.Settings.from_env(bad)
+
+
+def test_token_counts_by_file(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" " + str(b).encode() for b in range(256)))
+    df = spark.createDataFrame([(1, "abc", 9), (2, None, 9), (3, "é", 9)], "id int, text string, token_count int")
+    assert {r.id: r.token_count for r in with_token_counts(df, str(path)).collect()} == {1: 3, 2: 0, 3: 2}
+    with pytest.raises(Exception, match="unknown kind"):
+        with_token_counts(df, "x.bin").collect()
+
+
+def test_materialized_tables_are_released(spark):
+    import os
+
+    from docloom import runtime
+
+    kept = runtime.materialize(spark.range(5), "t")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(path)
+    runtime.release()
+    assert not os.path.exists(path)
+
+
 def test_cases_from_json_lines(spark, tmp_path):
     path = tmp_path / "cases.jsonl"
     path.write_text("\n".join([json.dumps({"id": "a", "question": "q", "expected": [{"title": "T"}]}), "", json.dumps({"question": "r", "expected": []})]))
