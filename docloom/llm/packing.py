@@ -13,7 +13,7 @@ equal containers, so the work follows the number of different lengths, not of te
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.tokens import counter
 from docloom.runtime import materialize
 
-#: The split pattern that belongs to byte-level BPE rank files.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 @dataclass(frozen=True)
 class PackSettings:
     """``tokenizer``: a file of ranks (.tiktoken), a tokenizers file (.json) or a sentencepiece model (.model) that every worker can read."""
@@ -38,29 +35,6 @@ class PackSettings:
     rank_rows: int = 500_000
 
 
-def counter(path: str) -> Callable[[list[str]], list[int]]:
-    """A function that counts the tokens of texts; strings of special tokens are ordinary text."""
-    if path.endswith(".tiktoken"):
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda texts: [len(e) for e in model.encode(texts, num_threads=1)]
-
-
 def knapsack(sizes: list[int], values: list[float], capacity: int) -> tuple[float, list[int]]:
     """The most valuable multiset of sizes within the capacity."""
     best = np.zeros(capacity + 1)
