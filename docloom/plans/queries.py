@@ -45,6 +45,11 @@ def questions(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "eval_case").select(c("id").alias("query_id"), c("question").alias("text"))
 
 
+def _hydrated(spark: SparkSession, directory: str, found: DataFrame) -> DataFrame:
+    """Repeated deliveries are made one by the hydration itself."""
+    return search.hydrate(found, read_table(spark, directory, "chunk_record"), read_table(spark, directory, "document_record"))
+
+
 # texts, ids, metadata
 
 
@@ -274,17 +279,17 @@ def point_payloads(spark, directory):
 
 
 def hydrated_hits(spark, directory):
-    found = search.hydrate(hits(spark, directory), chunks(spark, directory), documents(spark, directory))
+    found = _hydrated(spark, directory, hits(spark, directory))
     return found.select("query_id", c("rank").cast("long").alias("rank"), "chunk_id", "source_path", "title", "crate")
 
 
 def first_hits(spark, directory):
-    found = search.hydrate(search.first_hits(hits(spark, directory), 10), chunks(spark, directory), documents(spark, directory))
+    found = _hydrated(spark, directory, search.first_hits(hits(spark, directory), 10))
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"), F.max("rank").cast("long").alias("last_rank"))
 
 
 def _candidates(spark, directory):
-    texts = chunks(spark, directory).select("id", "text")
+    texts = read_table(spark, directory, "chunk_record", "id", "text")
     return search.lexical_top_k(questions(spark, directory), texts, 20)
 
 
@@ -300,13 +305,13 @@ def reranked_hits(spark, directory):
 
 
 def context_prefix(spark, directory):
-    found = search.hydrate(hits(spark, directory), chunks(spark, directory), documents(spark, directory))
+    found = _hydrated(spark, directory, hits(spark, directory))
     kept = prompt.within_budget(found.dropDuplicates(["query_id", "rank"]), 2500)
     return kept.select("query_id", c("rank").cast("long").alias("rank"), c("context_tokens").cast("long").alias("context_tokens"))
 
 
 def prompt_texts(spark, directory):
-    found = search.hydrate(_candidates(spark, directory).withColumnRenamed("id", "chunk_id"), chunks(spark, directory), documents(spark, directory))
+    found = _hydrated(spark, directory, _candidates(spark, directory).withColumnRenamed("id", "chunk_id"))
     asked = questions(spark, directory).withColumnRenamed("text", "question")
     made = prompt.prompts(asked, prompt.within_budget(found, 2500))
     return made.select("query_id", F.md5("prompt").alias("prompt_md5"), c("blocks").cast("long").alias("blocks"), c("answer").isNotNull().alias("unanswered"))
@@ -317,7 +322,7 @@ def prompt_texts(spark, directory):
 
 def _ranks(spark, directory, hits_of):
     cases = read_table(spark, directory, "eval_case")
-    found = search.hydrate(hits_of(spark, directory).withColumnRenamed("id", "chunk_id"), chunks(spark, directory), documents(spark, directory))
+    found = _hydrated(spark, directory, hits_of(spark, directory).withColumnRenamed("id", "chunk_id"))
     return evaluate.first_ranks(cases, found.withColumnRenamed("query_id", "case_id"))
 
 
