@@ -48,11 +48,11 @@ _NUMBERED = re.compile(r"^\d+\.\d+ ")
 
 @dataclass(frozen=True)
 class BodySettings:
-    sample_pages: int = 2500
+    sample_pages: int = 2000
     least_pages: int = 8
     least_share: float = 0.005
     sure_share: float = 0.03
-    trees: int = 60
+    trees: int = 40
     depth: int = 4
 
 
@@ -208,14 +208,13 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BodyModel:
-    """Trees, words and templates; the templates are those of at least ``least_share`` of a crate's pages."""
+    """Trees, words and, if there are few enough of them, the templates of at least ``least_share`` of a crate's pages."""
 
     trees: Boosted
     words: dict[str, float]
-    shares: dict[tuple[str, int], float]
+    shares: dict[tuple[str, int], float] | None = None
 
-    def label(self, pages: list[Page], crates: list[str]) -> list[np.ndarray]:
-        shares = [shares_of(p, c, self.shares) for p, c in zip(pages, crates)]
+    def label(self, pages: list[Page], shares: list[np.ndarray]) -> list[np.ndarray]:
         rows = [features(p, s, self.words) for p, s in zip(pages, shares)]
         if not rows:
             return []
@@ -227,14 +226,13 @@ def shares_of(page: Page, crate: str, shares: dict[tuple[str, int], float]) -> n
     return np.array([shares.get((crate, _hash(template(t))), 0.0) for t in page.text])
 
 
-def train(pages: list[Page], crates: list[str], shares: dict[tuple[str, int], float], settings: BodySettings = BodySettings()) -> BodyModel:
-    by_page = [shares_of(p, c, shares) for p, c in zip(pages, crates)]
-    labels = [weak_labels(p, s, settings) for p, s in zip(pages, by_page)]
+def train(pages: list[Page], shares: list[np.ndarray], settings: BodySettings = BodySettings()) -> BodyModel:
+    labels = [weak_labels(p, s, settings) for p, s in zip(pages, shares)]
     words = word_weights(pages, labels)
-    x = np.concatenate([features(p, s, words) for p, s in zip(pages, by_page)])
+    x = np.concatenate([features(p, s, words) for p, s in zip(pages, shares)])
     y = np.concatenate(labels)
     known = y >= 0
-    return BodyModel(fit(x[known], y[known].astype(float), settings.trees, settings.depth), words, shares)
+    return BodyModel(fit(x[known], y[known].astype(float), settings.trees, settings.depth), words)
 
 
 _COLUMNS = ("block_type", "html_tag", "text", "heading_level", "anchor", "paths")
@@ -263,13 +261,37 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["crate", "template", "pk"])
 
 
-def template_shares(pages: DataFrame, settings: BodySettings = BodySettings()) -> dict[tuple[str, int], float]:
-    """Share of a crate's pages that hold a template. A crate keeps at most (blocks a page) / least_share templates, so the table is bounded by the number of crates."""
+def template_shares(pages: DataFrame, settings: BodySettings = BodySettings()) -> DataFrame:
+    """(crate, template, share): the share of a crate's pages that hold a template. A crate keeps at most (blocks a page) / least_share templates."""
     seen = pages.select("crate", "pk", "text").mapInArrow(_templates, "crate string, template long, pk long").distinct()
     counted = seen.groupBy("crate", "template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= settings.least_pages)
     total = pages.select("crate", "pk").distinct().groupBy("crate").agg(F.count(F.lit(1)).alias("pages"))
-    kept = counted.join(total, "crate").select("crate", "template", (F.col("n") / F.col("pages")).alias("share")).filter(F.col("share") >= settings.least_share)
-    return {(r[0], r[1]): r[2] for r in kept.collect()}
+    return counted.join(total, "crate").select("crate", "template", (F.col("n") / F.col("pages")).alias("share")).filter(F.col("share") >= settings.least_share)
+
+
+#: Templates up to which they are broadcast with the model; beyond, every block is joined with its template's share.
+BROADCAST_ROWS = 200_000
+
+
+def _block_templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(pk, digest, crate, k, _hash(template(t or ""))) for pk, digest, crate, texts in zip(*(batch.column(c).to_pylist() for c in ("pk", "digest", "crate", "text"))) for k, t in enumerate(texts)]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["pk", "digest", "crate", "block_no", "template"])
+
+
+def with_shares(blocks: DataFrame, kept: DataFrame) -> DataFrame:
+    """Adds ``shares``, one number for each block, by a shuffle join on (crate, template)."""
+    blocks = blocks.withColumn("digest", F.xxhash64("text"))
+    rows = blocks.select("pk", "digest", "crate", "text").mapInArrow(_block_templates, "pk long, digest long, crate string, block_no int, template long").distinct()
+    found = rows.join(kept, ["crate", "template"], "left").groupBy("pk", "digest").agg(F.array_sort(F.collect_list(F.struct("block_no", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("s"))
+    return blocks.join(found.select("pk", "digest", F.transform("s", lambda x: x["share"]).alias("shares")), ["pk", "digest"]).drop("digest")
+
+
+def _shares(batch: pa.RecordBatch | pa.Table, pages: list[Page], shares: dict[tuple[str, int], float] | None) -> list[np.ndarray]:
+    if shares is None:
+        return [np.array(s, float) for s in batch.column("shares").to_pylist()]
+    return [shares_of(p, c, shares) for p, c in zip(pages, batch.column("crate").to_pylist())]
 
 
 def boilerplate_blocks(pages: DataFrame, settings: BodySettings = BodySettings()) -> DataFrame:
@@ -280,20 +302,27 @@ def boilerplate_blocks(pages: DataFrame, settings: BodySettings = BodySettings()
     table gives an empty result; other columns are ignored."""
     spark = pages.sparkSession
     blocks = _select(pages)
-    shares = template_shares(blocks, settings)
     total = blocks.count()
     if not total:
         return spark.createDataFrame([], "pk long, block_no long")
+    kept = materialize(template_shares(blocks, settings), "p5-templates")
+    shares = {(r[0], r[1]): r[2] for r in kept.collect()} if kept.count() <= BROADCAST_ROWS else None
+    if shares is None:
+        blocks = materialize(with_shares(blocks, kept), "p5-shares")
     bound = int(min(1.0, settings.sample_pages / total) * ((1 << 62) - 1))
     sample = blocks.filter(F.shiftrightunsigned(F.xxhash64("pk"), 2) <= bound).dropDuplicates(["pk"]).orderBy("pk").toArrow()
-    shared = spark.sparkContext.broadcast(train(_pages_of(sample), sample.column("crate").to_pylist(), shares, settings))
+    labelled = _pages_of(sample)
+    model = train(labelled, _shares(sample, labelled, shares), settings)
+    model.shares = shares
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 ids, at = [], []
-                for pk, label in zip(part.column("pk").to_pylist(), shared.value.label(_pages_of(part), part.column("crate").to_pylist())):
+                own = _pages_of(part)
+                for pk, label in zip(part.column("pk").to_pylist(), shared.value.label(own, _shares(part, own, shared.value.shares))):
                     hit = np.flatnonzero(label).tolist()
                     ids += [pk] * len(hit)
                     at += hit

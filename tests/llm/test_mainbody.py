@@ -48,6 +48,15 @@ def test_held_out_accuracy_and_decoding(spark):
     assert not {g for g in got if g[0] in (900, 901)}
 
 
+def test_shares_by_join_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, "a" if k % 2 else "b", [b for b, _ in page(rng)], "t", 1) for k in range(80)]
+    df = spark.createDataFrame([*rows, rows[3]], SCHEMA)
+    want = {tuple(r) for r in mainbody.boilerplate_blocks(df).collect()}
+    monkeypatch.setattr(mainbody, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in mainbody.boilerplate_blocks(df).collect()} == want
+
+
 def test_main_body_keeps_one_row_a_page(spark):
     rng = random.Random(3)
     rows = [(k, "a", [b for b, _ in page(rng)], "t", 1) for k in range(60)] + [(99, "a", None, "t", 1)]
