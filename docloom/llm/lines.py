@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.components import components
 from docloom.runtime import materialize
 
 
@@ -39,22 +40,6 @@ def _lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc", "source", F.posexplode(split).alias("line_no", "raw")).select("doc", "source", F.col("line_no").cast("long").alias("line_no"), "raw", normal_line(F.col("raw")).alias("line"))
 
 
-def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(source, node, block): the smallest node hash of each component, by label propagation with pointer doubling over tables in the shared folder."""
-    labels = materialize(nodes.select("source", "node", F.col("node").alias("block")), "p3-labels")
-    both = materialize(edges.select("source", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select("source", F.col("b").alias("node"), F.col("a").alias("other"))), "p3-edges")
-    if both.limit(1).count() == 0:
-        return labels
-    while True:
-        near = both.join(labels.select("source", F.col("node").alias("other"), "block"), ["source", "other"]).groupBy("source", "node").agg(F.min("block").alias("least"))
-        moved = labels.join(near, ["source", "node"], "left").select("source", "node", F.col("block").alias("old"), F.least("block", "least").alias("block"))
-        jump = moved.select("source", F.col("node").alias("block"), F.col("block").alias("further"))
-        fresh = materialize(moved.join(jump, ["source", "block"], "left").select("source", "node", "old", F.least("block", "further").alias("block")), "p3-labels")
-        labels = fresh.select("source", "node", "block")
-        if fresh.filter("block < old").limit(1).count() == 0:
-            return labels
-
-
 def boilerplate(documents: DataFrame, support: Support = Support()) -> tuple[DataFrame, DataFrame]:
     """(blocks, occurrences) of ``documents`` (doc, source, text).
 
@@ -84,7 +69,7 @@ def boilerplate(documents: DataFrame, support: Support = Support()) -> tuple[Dat
     pairs = pairs.select("source", "doc", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "pages").distinct()
     edges = pairs.groupBy("source", "a", "b").agg(F.count(F.lit(1)).alias("support"), F.first("pages").alias("pages"))
     edges = edges.filter((F.col("support") >= support.documents) & (F.col("support") >= F.col("pages") * support.share))
-    labels = _components(edges, kept)
+    labels = components(edges, kept, ["source"], "p3")
     texts = found.groupBy("source", "node").agg(F.min("line").alias("line"), F.first("support").alias("support"))
     blocks = texts.join(labels, ["source", "node"])
     occurrences = found.join(labels, ["source", "node"]).select("doc", "source", "line_no", "block")

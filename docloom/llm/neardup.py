@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import words
 from docloom.llm.canonical import field_key, plain_key
+from docloom.llm.components import components
 from docloom.runtime import materialize
 
 
@@ -264,6 +265,18 @@ def link(records: DataFrame, settings: Settings | None = None) -> Links:
     return Links(members, exact)
 
 
+def groups(links: Links) -> DataFrame:
+    """(kind, item, class, group, copies, links): one row for each record with a set. ``class`` is the smallest id with the same set, ``group`` the smallest id that links of any length lead to, ``copies`` the number of records of the class and ``links`` the number of other classes at or over the threshold."""
+    members = materialize(links.members, "p1-members")
+    sizes = members.groupBy("kind", F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("copies"))
+    pairs = links.pairs.select("kind", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    found = components(pairs, sizes, ["kind"], "p1")
+    ends = pairs.select("kind", F.col("a").alias("node")).unionByName(pairs.select("kind", F.col("b").alias("node")))
+    degrees = ends.groupBy("kind", "node").agg(F.count(F.lit(1)).alias("links"))
+    classes = found.join(sizes, ["kind", "node"]).join(degrees, ["kind", "node"], "left").withColumnRenamed("node", "rep")
+    return members.join(classes, ["kind", "rep"]).select("kind", "item", F.col("rep").alias("class"), F.col("block").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def record_pairs(links: Links, copies: DataFrame) -> DataFrame:
     """(kind, pk_a, pk_b) of all linked records. ``copies`` (kind, item, plain, fields) holds the formatting keys of records whose pairs don't count when a key is equal.
 
@@ -288,12 +301,24 @@ def record_pairs(links: Links, copies: DataFrame) -> DataFrame:
     return pairs.filter("item_a <> item_b").select("kind", F.least("item_a", "item_b").alias("pk_a"), F.greatest("item_a", "item_b").alias("pk_b"))
 
 
+def _records(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    records = documents.select(F.lit(0).alias("kind"), F.col("pk").alias("item"), F.col("text_content").alias("text"))
+    return records.unionByName(chunks.select(F.lit(1).alias("kind"), F.col("pk").alias("item"), "text"))
+
+
+def _table_name():
+    return F.when(F.col("kind") == 0, "document_record").otherwise("chunk_record").alias("rec_table")
+
+
+def near_groups(documents: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
+    """(rec_table, pk, class_pk, group_pk, copies, links) for ``documents`` (pk, text_content) and ``chunks`` (pk, text)."""
+    found = groups(link(_records(documents, chunks), settings))
+    return found.select(_table_name(), F.col("item").alias("pk"), F.col("class").alias("class_pk"), F.col("group").alias("group_pk"), "copies", "links")
+
+
 def near_pairs(documents: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
     """(rec_table, pk_a, pk_b) for ``documents`` (pk, text_content) and ``chunks`` (pk, text); chunks that are hidden copies of each other are left out."""
-    records = documents.select(F.lit(0).alias("kind"), F.col("pk").alias("item"), F.col("text_content").alias("text"))
-    records = records.unionByName(chunks.select(F.lit(1).alias("kind"), F.col("pk").alias("item"), "text"))
-    links = link(records, settings)
+    links = link(_records(documents, chunks), settings)
     keys = chunks.select(F.lit(1).alias("kind"), F.col("pk").alias("item"), plain_key(F.col("text")).alias("plain"), field_key(F.col("text")).alias("fields")).dropDuplicates(["kind", "item"])
     links = Links(materialize(links.members, "p1-members"), links.pairs)
-    names = F.when(F.col("kind") == 0, "document_record").otherwise("chunk_record")
-    return record_pairs(links, keys).select(names.alias("rec_table"), "pk_a", "pk_b").distinct()
+    return record_pairs(links, keys).select(_table_name(), "pk_a", "pk_b").distinct()

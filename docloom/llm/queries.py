@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.near_pairs(documents, read_table(spark, directory, "chunk_record", "pk", "text"), NEAR)
 
 
+def p1_groups(spark: SparkSession, directory: str) -> DataFrame:
+    documents = read_table(spark, directory, "document_record", "pk", "text_content")
+    return neardup.near_groups(documents, read_table(spark, directory, "chunk_record", "pk", "text"), NEAR)
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     points = read_table(spark, directory, "vector_point").selectExpr("chunk_id AS id", "vector")
     probes = read_table(spark, directory, "probe_point").selectExpr("chunk_id AS id")
@@ -89,6 +94,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,

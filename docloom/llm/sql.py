@@ -37,6 +37,26 @@ SELECT rec_table, pk_a, pk_b FROM hit LEFT JOIN class u ON u.pk = pk_a LEFT JOIN
 WHERE rec_table = 'document_record' OR u.k IS NULL OR v.k IS NULL OR u.k <> v.k
 """
 
+P1_GROUPS = r"""
+WITH RECURSIVE recs AS (
+  SELECT DISTINCT 'document_record' AS rec_table, pk, text_content AS text FROM document_record
+  UNION ALL SELECT DISTINCT 'chunk_record', pk, text FROM chunk_record),
+w AS (SELECT rec_table, pk, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM recs),
+sh AS (SELECT DISTINCT rec_table, pk, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT rec_table, pk, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+sets AS (SELECT rec_table, pk, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS m FROM sh GROUP BY ALL),
+cls AS (SELECT rec_table, pk, n, min(pk) OVER (PARTITION BY rec_table, m) AS class_pk, count(*) OVER (PARTITION BY rec_table, m) AS copies FROM sets),
+reps AS (SELECT rec_table, pk, n FROM cls WHERE pk = class_pk),
+rs AS (SELECT sh.* FROM sh JOIN reps USING (rec_table, pk)),
+pairs AS (SELECT a.rec_table, a.pk AS a, b.pk AS b, count(*) AS c FROM rs a JOIN rs b ON a.rec_table = b.rec_table AND a.s = b.s AND a.pk < b.pk GROUP BY ALL),
+hit AS (SELECT p.rec_table, a, b FROM pairs p JOIN reps x ON x.rec_table = p.rec_table AND x.pk = a JOIN reps y ON y.rec_table = p.rec_table AND y.pk = b WHERE c * 10 >= 7 * (x.n + y.n - c)),
+ends AS (SELECT rec_table, a, b FROM hit UNION ALL SELECT rec_table, b, a FROM hit),
+reach AS (SELECT rec_table, pk AS a, pk AS b FROM reps UNION SELECT r.rec_table, r.a, e.b FROM reach r JOIN ends e ON e.rec_table = r.rec_table AND e.a = r.b),
+grp AS (SELECT rec_table, a, min(b) AS group_pk FROM reach GROUP BY ALL),
+deg AS (SELECT rec_table, a, count(*) AS links FROM ends GROUP BY ALL)
+SELECT cls.rec_table, cls.pk, class_pk, group_pk, copies, coalesce(links, 0) AS links
+FROM cls JOIN grp ON grp.rec_table = cls.rec_table AND grp.a = class_pk LEFT JOIN deg ON deg.rec_table = cls.rec_table AND deg.a = class_pk
+"""
+
 P2_FOUND = """
 WITH v AS (
   SELECT DISTINCT chunk_id, vector::DOUBLE[] AS x FROM vector_point
@@ -74,6 +94,7 @@ SELECT DISTINCT doc_id, item_id FROM ds JOIN es USING (s)
 
 ORACLE: dict[str, str] = {
     "p1_found": P1_FOUND,
+    "p1_groups": P1_GROUPS,
     "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
     "p3_cleaned": P3_CLEANED,

@@ -76,6 +76,19 @@ def test_copies_are_one_class_and_nulls_match_nothing(spark):
     assert links.pairs.count() == 0
 
 
+def test_groups_follow_links_of_any_length(spark):
+    base = W[:100]
+    chain = [(10 - k, " ".join([*base[6 * k :], *(f"n{j}" for j in range(6 * k))])) for k in range(6)]  # each like the next, ends unlike
+    rows = [*chain, (20, chain[0][1]), (30, "some other words that nobody else has at all"), (31, None)]
+    settings = neardup.Settings(shingle=3, threshold=Fraction(7, 10))
+    got = {r.item: r for r in neardup.groups(linked(spark, rows, settings)).collect()}
+    want = brute(rows, 3, Fraction(7, 10))
+    assert (5, 10) not in want and set(got) == {5, 6, 7, 8, 9, 10, 20, 30}
+    assert {got[k].group for k in (5, 6, 7, 8, 9, 10, 20)} == {5} and got[30].group == 30 and got[30].links == 0
+    assert got[20]["class"] == 10 and got[10].copies == 2
+    assert got[7].links == len({tuple(p) for p in want if 7 in p})
+
+
 @pytest.mark.parametrize("bound", [50_000, 0])
 def test_differing_deliveries_count_once(spark, monkeypatch, bound):
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", bound)
