@@ -8,7 +8,7 @@ numbers masked), and how much its words are those of boilerplate.
 There are no labelled pages, so the trees are fitted on weak labels: a bounded sample of pages (``sample_pages``) is
 labelled by seed rules that only speak where they are sure, and the trees decide everywhere else. Templates are counted
 over all pages. Decoding is hierarchical: the items of one list fall together, a heading falls with the list under it,
-and no heading falls over text that stays.
+and a heading falls over text that stays only if it is sure by itself. Code and definitions are always the subject.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ SEED_PHRASES = (
 )
 SEED_HEADINGS = frozenset(("on this page", "related", "jump to", "contents", "in this module"))
 
+SUBJECT_KINDS = ("code_block", "definition_term", "definition_desc")
+SURE_ODDS = 3.0
+
 _SEED = re.compile("|".join(SEED_PHRASES), re.I)
 _CODE = re.compile(r"`|::|\w_\w")
 _NAME = re.compile(r"\b[a-z]+_[a-z_]+\b|\b[A-Z][a-z]+(?:[A-Z]\w*)+")
@@ -103,7 +106,7 @@ def weak_labels(page: Page, share: np.ndarray, settings: BodySettings) -> np.nda
     top = next((k for k in range(n) if page.tag[k] == "h1"), -1)
     for k in range(n):
         kind, text = page.kind[k], page.text[k]
-        if kind in ("code_block", "definition_term", "definition_desc") or page.tag[k] == "h1":
+        if kind in SUBJECT_KINDS or page.tag[k] == "h1":
             out[k] = 0
         elif kind == "heading":
             out[k] = int(text.strip().lower() in SEED_HEADINGS)
@@ -113,7 +116,7 @@ def weak_labels(page: Page, share: np.ndarray, settings: BodySettings) -> np.nda
                 out[k] = 1
             elif k < max(top, 2) + 2 and len(text) < 160 and len(_CRUMB.findall(text)) >= 2:
                 out[k] = 1
-            elif len(text) > 400 or (_sentence(text) and (code or text.count(" ") >= 25) and share[k] < settings.sure_share):
+            elif len(text) > 400 or (_sentence(text) and (code or (text.count(" ") >= 25 and share[k] < settings.sure_share))):
                 out[k] = 0
     for start, end in runs_of(page.kind):
         texts = page.text[start:end]
@@ -185,7 +188,7 @@ def word_weights(pages: list[Page], labels: list[np.ndarray]) -> dict[str, float
 
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     """Labels without contradictions between a block and what stands under it."""
-    out = odds > 0
+    out = (odds > 0) & ~np.isin(page.kind, SUBJECT_KINDS)
     lists = runs_of(page.kind)
     for start, end in lists:
         out[start:end] = odds[start:end].mean() > 0
@@ -202,7 +205,7 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
             end = k + 1
             while end < len(out) and page.kind[end] != "heading":
                 end += 1
-            out[k] = out[k] and bool(out[k + 1 : end].all())
+            out[k] = out[k] and (odds[k] > SURE_ODDS or bool(out[k + 1 : end].all()))
     return out
 
 

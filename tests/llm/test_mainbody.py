@@ -71,7 +71,7 @@ def test_empty_table(spark):
 
 def test_decoding_has_no_contradictions():
     p = mainbody.Page(["heading", "list_item", "list_item", "heading", "paragraph", "heading"], ["h2", "li", "li", "h2", "p", "h1"], ["Related", "a", "b", "Notes", "text", "T"], [2, -1, -1, 2, -1, 1], [False] * 6, [0] * 6)
-    assert mainbody.decode(p, np.array([3.0, -1.0, 2.0, 5.0, -4.0, 9.0])).tolist() == [True, True, True, False, False, False]
+    assert mainbody.decode(p, np.array([3.0, -1.0, 2.0, 2.5, -4.0, 9.0])).tolist() == [True, True, True, False, False, False]
 
 
 def test_boosting_learns_an_interaction():
