@@ -15,6 +15,7 @@ from docloom.operators.parse import parse_pages
 from docloom.runtime import read_table
 from docloom.schemas import BLOCK
 from docloom.sources import store
+from docloom.streaming.ingest import arrivals
 
 c = F.col
 
@@ -350,6 +351,10 @@ def hit_latency(spark, directory):
     return rows.groupBy("mode").agg(F.round(F.avg(ms), 2).alias("average_latency_ms"), F.count(F.lit(1)).alias("hits"))
 
 
+def hit_arrivals(spark, directory):
+    return arrivals(read_table(spark, directory, "search_hit").distinct()).select("start", "mode", "hits", F.round("mean_score", 6).alias("mean_score"))
+
+
 # integrity
 
 
@@ -391,7 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         document_urls, detected_crates, item_paths, item_types, section_titles, selected_paths, page_flags, block_codec, parsed_pages, unique_documents,
         duplicate_groups, unique_chunks, renumbered_chunks, low_value_chunks, changelog_stubs, lone_headings, block_sections, chunk_stats, document_chunks,
         message_parts, numbered_batches, token_capped_batches, vector_threshold, vector_filtered, point_payloads, hydrated_hits, first_hits, lexical_hits,
-        reranked_hits, context_prefix, prompt_texts, eval_ranks, eval_summary, eval_weak_cases, eval_comparison, hit_latency, documents_without_chunks,
+        reranked_hits, context_prefix, prompt_texts, eval_ranks, eval_summary, eval_weak_cases, eval_comparison, hit_latency, hit_arrivals, documents_without_chunks,
         chunks_without_documents, path_difference, vectors_of_lost_chunks, stage_counts,
     )
 } | {f"vector_top_{d}": _vector_query(d) for d in search.DISTANCES}

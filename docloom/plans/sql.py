@@ -209,6 +209,7 @@ SELECT e.id AS query_id, md5('Question:' || chr(10) || question || chr(10) || ch
     "eval_weak_cases": f"{LEXICAL_RANKS} SELECT case_id, rank FROM fl WHERE rank IS NULL OR rank <> 1",
     "eval_comparison": f"WITH {RERANKED}, {_first_ranks('lx', 'fl')}, {_first_ranks('rr', 'fr')} SELECT fl.case_id, fl.rank AS rank_a, fr.rank AS rank_b, CASE WHEN coalesce(fr.rank, 999) < coalesce(fl.rank, 999) THEN 'improved' WHEN coalesce(fr.rank, 999) > coalesce(fl.rank, 999) THEN 'regressed' ELSE 'same' END AS change FROM fl JOIN fr USING (case_id)",
     "hit_latency": "SELECT mode, round(avg((epoch_us(received_at) - epoch_us(searched_at)) / 1000), 2) AS average_latency_ms, count(*) AS hits FROM (SELECT DISTINCT * FROM search_hit) GROUP BY mode",
+    "hit_arrivals": "SELECT date_trunc('day', searched_at) AS start, mode, count(*) AS hits, round(avg(score), 6) AS mean_score FROM (SELECT DISTINCT * FROM search_hit) WHERE searched_at IS NOT NULL GROUP BY ALL",
     "documents_without_chunks": "SELECT DISTINCT pk FROM document_record WHERE pk NOT IN (SELECT document_pk FROM chunk_record)",
     "chunks_without_documents": "SELECT DISTINCT document_pk AS pk FROM chunk_record WHERE document_pk NOT IN (SELECT pk FROM document_record)",
     "path_difference": "SELECT source_path FROM document_record EXCEPT SELECT source_path FROM vector_point",
