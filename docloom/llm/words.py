@@ -108,8 +108,8 @@ def slices(texts: pa.Array, size: int = 4 << 20) -> list[tuple[int, int]]:
     """Runs of rows of about ``size`` bytes, so that a batch of long texts needs little memory."""
     if not len(texts):
         return []
-    offsets = np.frombuffer(texts.cast(pa.large_string()).buffers()[1], np.int64)
-    offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
+    texts = texts.cast(pa.large_string())  # a cast may drop the offset of a slice
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     out, start = [], 0
     while start < len(texts):
         end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1

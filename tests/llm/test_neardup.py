@@ -130,3 +130,10 @@ def test_word_hashes_equal_regex():
     seen = {}
     assert all(seen.setdefault(m, h) == h for (_, m), h in zip(flat, word)) and len(set(seen.values())) == len(seen)
     assert (np.diff(start) > 0).all() and (end > start).all()
+
+
+def test_slices_of_sliced_columns():
+    texts = pa.array(["ab", None, "c" * 50, "", "de"])
+    for part in (texts, texts.slice(2), texts.slice(1, 3), texts.slice(0, 0)):
+        cuts = words.slices(part, 10)
+        assert [k for lo, hi in cuts for k in range(lo, hi)] == list(range(len(part)))
