@@ -42,7 +42,7 @@ class Settings:
     rows: int = 4
     hot: int = 64
     batch: int = 16
-    miss: float = 1e-5
+    miss: float = 1e-4
     word_extra: str = "_"
 
     @property
