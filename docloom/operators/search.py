@@ -116,17 +116,15 @@ def first_hits(hits: DataFrame, limit: int) -> DataFrame:
 def lexical_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` rows of ``corpus`` (id, text) that share most different words with each query (query_id, text).
 
-    A join on words, aggregated with map-side combine; the score is the share of the query's words. A repeated id counts
-    with the words of all its rows. Rows that share no word don't come out; ties go to the smaller id; null texts have
-    no words. No text enters a shuffle."""
+    A join on words, aggregated with map-side combine; the score is the share of the query's words. A repeated id
+    counts once. Rows that share no word don't come out; ties go to the smaller id; null texts have no words."""
 
     def words(df: DataFrame, key: str) -> DataFrame:
         found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9_]{3,})"), F.lit(1)))
         return df.select(key, F.size(found).alias("words"), F.explode(found).alias("word"))
 
     asked = words(queries.dropDuplicates(["query_id"]), "query_id")
-    held = words(corpus, "id").select("id", "word")
-    # a set holds no more words than the query
-    shared = held.join(asked, "word").groupBy("query_id", "id").agg((F.size(F.collect_set("word")) / F.first("words")).alias("score"))
+    held = words(corpus.dropDuplicates(["id"]), "id").select("id", "word")
+    shared = held.join(asked, "word").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("words")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return shared.withColumn(unused_name(shared, "rank"), F.row_number().over(order)).filter(F.col("rank") <= k)
