@@ -22,6 +22,9 @@ def test_strip_collapse_and_hash_equal_python(spark):
     assert values(spark, text.text_hash) == [hashlib.sha256(" ".join(t.lower().split()).encode()).hexdigest() for t in TEXTS]
 
 
+# The patterns of the rules, as Python reads them.
+
+
 def py_tidy(t):
     t = t.replace("\r\n", "\n").replace("\r", "\n")
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", t))
