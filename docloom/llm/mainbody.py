@@ -112,7 +112,7 @@ def weak_labels(page: Page, share: np.ndarray, settings: BodySettings) -> np.nda
             out[k] = int(text.strip().lower() in SEED_HEADINGS)
         elif kind == "paragraph":
             code = _CODE.search(_NAME.sub("", text)) or "`" in text
-            if len(text) < 260 and not code and (_SEED.search(text) or share[k] >= settings.sure_share):
+            if not code and (len(text) < 260 and _SEED.search(text) or share[k] >= settings.sure_share):
                 out[k] = 1
             elif k < max(top, 2) + 2 and len(text) < 160 and len(_CRUMB.findall(text)) >= 2:
                 out[k] = 1
@@ -260,7 +260,7 @@ def _pages_of(batch: pa.RecordBatch | pa.Table) -> list[Page]:
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = {(c, _hash(template(t)), pk) for c, pk, texts in zip(batch.column("crate").to_pylist(), batch.column("pk").to_pylist(), batch.column("text").to_pylist()) for t in texts if t and len(t) < 400}
+        rows = {(c, _hash(template(t)), pk) for c, pk, texts in zip(batch.column("crate").to_pylist(), batch.column("pk").to_pylist(), batch.column("text").to_pylist()) for t in texts if t}
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["crate", "template", "pk"])
 
 

@@ -80,3 +80,12 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     model = boosting.fit(x[:3000], y[:3000])
     assert ((model.predict(x[3000:]) > 0) == (y[3000:] > 0)).mean() > 0.95
+
+
+def test_long_blocks_on_every_page_are_boilerplate(spark):
+    rng = random.Random(6)
+    notice = "These pages are given as they stand and may be passed on under the terms of the house, which bind every reader. " * 5
+    rows = [(k, "a", [*(b for b, _ in page(rng)), block("paragraph", notice)], "t", 1) for k in range(60)]
+    assert len(notice) > 400
+    got = {(r.pk, r.block_no) for r in mainbody.boilerplate_blocks(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all((k, len(blocks) - 1) in got for k, _, blocks, _, _ in rows)
