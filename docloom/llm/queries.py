@@ -64,6 +64,10 @@ def p5_main_body(spark: SparkSession, directory: str) -> DataFrame:
     return mainbody.main_body(read_table(spark, directory, "document_record", "pk", "crate", "parsed_content"))
 
 
+def p5_decisions(spark: SparkSession, directory: str) -> DataFrame:
+    return mainbody.decisions(read_table(spark, directory, "document_record", "pk", "crate", "parsed_content"))
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return canonical.hidden_copies(read_table(spark, directory, "chunk_record", "pk", "text"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_main_body": p5_main_body,
+    "p5_decisions": p5_decisions,
     "p6_found": p6_found,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
