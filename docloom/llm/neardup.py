@@ -3,15 +3,20 @@
 1. Every record becomes the set of its runs of three words (64-bit hashes), a 128-bit fingerprint of that set and a
    signature of ``bands * rows`` minhashes of 16 bits. Records with equal sets form one class; only its representative
    (smallest id) goes on, so a group of copies costs one row, however large it is.
-2. Representatives meet where all minhashes of a band agree. A bucket with more than ``hot`` representatives isn't
-   paired: its members must agree in a second band as well (their keys are split by every other band), so a bucket that
-   holds a third of all rows is cut into small ones. At similarity s a pair is missed with (1 - s**rows)**bands, 1.5e-4
-   at 0.7; a pair that meets in hot buckets only, with the chance to agree in no second band, 1.7e-3 at 0.7.
+2. Representatives meet where all minhashes of a band agree. At similarity s a pair is missed with (1 - s**rows)**bands,
+   1.5e-4 at 0.7. A bucket with more than ``hot`` representatives isn't paired; its members meet by an exact prefix join
+   instead, which loses no pair: of each set, sorted by how rare its runs are among such members, as many runs are
+   joined as a partner must share one of. What a hot bucket has in common is frequent there and so isn't joined on.
 3. Candidate pairs compare their signatures in batches. After n minhashes of which m agree, a pair is dropped if the
    posterior probability that its similarity reaches the threshold (uniform prior) is below ``miss``.
 4. Survivors are verified exactly on the word sets of the whole texts.
 
-All stages are equi-joins on hash keys; no stage depends on the number of rows, and nothing but counts reaches the driver.
+Groups need no list of all pairs: first every member of a bucket, hot or not, is compared with the bucket's smallest
+representative only; what these verified links connect is one group, and only buckets that more than one group still
+meets in are paired, between groups. So n near-equal records cost n candidates a band.
+
+All stages are equi-joins on hash keys; a key with very many rows is spread over salts; no stage depends on the number
+of rows, and nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import words
@@ -34,13 +39,14 @@ from docloom.runtime import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """``shingle`` words a run, a pair counts from ``threshold`` on; ``bands`` times ``rows`` minhashes; buckets over ``hot`` members are refined; ``batch`` minhashes are compared at a time and ``miss`` is the posterior below which a pair is dropped."""
+    """``shingle`` words a run, a pair counts from ``threshold`` on; ``bands`` times ``rows`` minhashes; members of buckets over ``hot`` meet by the prefix join; a key over ``salt`` rows is spread; ``batch`` minhashes are compared at a time and ``miss`` is the posterior below which a pair is dropped."""
 
     shingle: int = 5
     threshold: Fraction = Fraction(4, 5)
     bands: int = 32
     rows: int = 4
-    hot: int = 64
+    hot: int = 128
+    salt: int = 4096
     batch: int = 16
     miss: float = 1e-4
     word_extra: str = "_"
@@ -125,30 +131,71 @@ def _band_keys(sig: np.ndarray, kind: np.ndarray, settings: Settings) -> np.ndar
     return words.mix(keys + np.arange(1, settings.bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + kind[:, None].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
+def _low(keys: np.ndarray) -> np.ndarray:
+    """32 bits of a key."""
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _band(settings: Settings):
+    """(key, prev, kind, rep, size, place): a row for each band; ``prev`` is of the band before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = _band_keys(_sig_matrix(batch.column("sig"), settings), batch.column("kind").to_numpy(), settings)
-                rep = np.repeat(batch.column("rep").to_numpy(), settings.bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+                prev = np.zeros(keys.shape, np.int32)
+                prev[:, 1:] = _low(keys[:, :-1])
+                at = pa.array(np.repeat(np.arange(len(keys)), settings.bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(prev.ravel()), batch.column("kind").take(at), batch.column("rep").take(at)], names=["key", "prev", "kind", "rep"])
 
     return run
 
 
-def _refine(settings: Settings):
-    """Splits each (hot key, representative) by every other band of the signature."""
+#: Counts by which runs of words are sorted: a table of fixed size. Any order gives the same pairs; a good one gives few candidates.
+COUNT_BITS = 20
+
 
+def _count_runs(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _band_keys(_sig_matrix(batch.column("sig"), settings), batch.column("kind").to_numpy(), settings)
-            hot = batch.column("key").to_numpy().view(np.uint64)[:, None]
-            finer = words.mix(keys ^ words.mix(hot))
-            other = keys != hot
-            rep = np.repeat(batch.column("rep").to_numpy(), settings.bands)[other.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(finer[other].view(np.int64)), pa.array(rep)], names=["key", "rep"])
+            for lo, hi in words.slices(batch.column("text")):
+                hashes, _ = _word_sets(batch.column("text").slice(lo, hi - lo), settings)
+                held += np.bincount((hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+        full = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(held[full])], names=["bucket", "n"])
+
+    return run
+
+
+def _prefix(settings: Settings, counts):
+    """(key, prev, kind, rep, size, place): the rarest runs of each set, one more than a partner at the threshold can lack; ``prev`` is of the run before."""
+    num, den = settings.threshold.numerator, settings.threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in words.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                hashes, text = _word_sets(part.column("text"), settings)
+                if not len(hashes):
+                    continue
+                often = counts.value[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                order = np.lexsort((hashes, often, text))
+                hashes, text = hashes[order], text[order]
+                start = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+                size = np.diff(np.append(start, len(hashes)))
+                owner = np.repeat(np.arange(len(start)), size)
+                place = np.arange(len(hashes)) - start[owner]
+                keep = place < (size - -(-size * num // den) + 1)[owner]
+                prev = np.concatenate((np.zeros(1, np.uint64), hashes[:-1]))
+                prev[start] = 0
+                at = pa.array(text[keep])
+                kind = part.column("kind").to_numpy()[text[keep]].astype(np.uint64)
+                keys = words.mix(hashes[keep] ^ words.mix(kind + np.uint64(0x3C6EF372)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(_low(prev[keep])), part.column("kind").take(at), part.column("rep").take(at), pa.array(size[owner[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))],
+                    names=["key", "prev", "kind", "rep", "size", "place"],
+                )
 
     return run
 
@@ -169,7 +216,7 @@ def _compare(settings: Settings):
                 alive, matches = alive[keep], matches[keep]
                 if not len(alive):
                     break
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in ("rep_a", "rep_b")], names=["rep_a", "rep_b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in ("kind", "rep_a", "rep_b")], names=["kind", "rep_a", "rep_b"])
 
     return run
 
@@ -193,8 +240,8 @@ def _verify(settings: Settings):
                 keep = np.flatnonzero((shared * den >= union * num) & (union > 0))
                 rows = pa.array(keep)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep_a").take(rows), part.column("rep_b").take(rows), pa.array(shared[keep] / np.maximum(union[keep], 1))],
-                    names=["rep_a", "rep_b", "similarity"],
+                    [*(part.column(c).take(rows) for c in ("kind", "rep_a", "rep_b")), pa.array(shared[keep] / np.maximum(union[keep], 1))],
+                    names=["kind", "rep_a", "rep_b", "similarity"],
                 )
 
     return run
@@ -208,6 +255,17 @@ class Links:
     pairs: DataFrame
 
 
+@dataclass(frozen=True)
+class Signed:
+    """``records``: kind, item, digest, text in lower case. ``members``: kind, item, rep. ``reps``: kind, rep, digest, sig. ``buckets``: key, prev, kind, rep, n (members of the bucket), of buckets of two and more."""
+
+    records: DataFrame
+    members: DataFrame
+    reps: DataFrame
+    buckets: DataFrame
+    settings: Settings
+
+
 #: Ids with differing texts up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 
@@ -223,14 +281,8 @@ def _one_text(signed: DataFrame) -> DataFrame:
     return signed.join(small, ["kind", "item"], "left").filter("least IS NULL OR digest = least").drop("least")
 
 
-def link(records: DataFrame, settings: Settings | None = None) -> Links:
-    """Links of ``records`` (kind int, item long, text string; ids are unique within a kind, kinds are compared apart).
-
-    Defined cases: a null, empty or short text has no set, is no member and matches nothing; a row without an id takes no
-    part; a repeated id counts once, with the text of the smallest hash if they differ; the set of a long text covers
-    all of it; ties don't arise, as every pair at or over the threshold comes out; an empty table gives empty results;
-    other columns are ignored."""
-    settings = settings or Settings()
+def sign(records: DataFrame, settings: Settings) -> Signed:
+    """Classes, signatures and buckets of ``records`` (kind, item, text)."""
     lowered = records.select(F.col("kind").cast("int"), F.col("item").cast("long"), F.lower("text").alias("text")).filter("kind IS NOT NULL AND item IS NOT NULL")
     lowered = lowered.withColumn("digest", F.xxhash64("text"))
     signed = lowered.mapInArrow(_sign(settings), "kind int, item long, digest long, set1 long, set2 long, size int, sig binary")
@@ -238,43 +290,114 @@ def link(records: DataFrame, settings: Settings | None = None) -> Links:
     same = ["kind", "set1", "set2", "size"]
     reps = materialize(signed.groupBy(*same).agg(F.min("item").alias("rep"), F.min_by("digest", "item").alias("digest"), F.min("sig").alias("sig")), "p1-classes")
     members = signed.select(*same, "item").distinct().join(reps.select(*same, "rep"), same).select("kind", "item", "rep")
-
-    numbered = reps.select("kind", (F.col("rep") * 2 + F.col("kind")).alias("rep"), "digest", "sig")
-    keys = numbered.select("kind", "rep", "sig").mapInArrow(_band(settings), "key long, rep long")
+    reps = reps.select("kind", "rep", "digest", "sig")
+    keys = reps.mapInArrow(_band(settings), "key long, prev int, kind int, rep long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = materialize(keys.join(counts, "key"), "p1-buckets")
-    hot = met.filter(F.col("n") > settings.hot).select("key", "rep")
-    fine = hot.join(numbered.select("kind", "rep", "sig"), "rep").mapInArrow(_refine(settings), "key long, rep long")
-    buckets = met.filter(F.col("n") <= settings.hot).select("key", "rep").unionByName(fine)
-    left, right = buckets.withColumnRenamed("rep", "rep_a"), buckets.withColumnRenamed("rep", "rep_b")
-    candidates = materialize(left.join(right, "key").filter("rep_a < rep_b").select("rep_a", "rep_b").distinct(), "p1-candidates")
-
-    sig = numbered.select("rep", "sig")
-    with_sig = candidates.join(sig.select(F.col("rep").alias("rep_a"), F.col("sig").alias("sig_a")), "rep_a")
-    with_sig = with_sig.join(sig.select(F.col("rep").alias("rep_b"), F.col("sig").alias("sig_b")), "rep_b")
-    alive = materialize(with_sig.mapInArrow(_compare(settings), "rep_a long, rep_b long"), "p1-alive")
-
-    wanted = alive.select(F.col("rep_a").alias("rep")).unionByName(alive.select(F.col("rep_b").alias("rep"))).distinct()
-    wanted = wanted.join(numbered.select("rep", "digest"), "rep")
-    texts = lowered.select((F.col("item") * 2 + F.col("kind")).alias("rep"), "digest", "text").join(wanted, ["rep", "digest"], "left_semi").dropDuplicates(["rep"])
+    return Signed(lowered, members, reps, materialize(keys.join(counts, "key"), "p1-buckets"), settings)
+
+
+def _paired(rows: DataFrame, settings: Settings, when: Column | None = None) -> DataFrame:
+    """(kind, rep_a, rep_b) of all rows (key, prev, kind, rep, n, ...) with equal keys; ``when`` is a further condition on the columns with _a and _b. A pair whose previous keys agree met there already and isn't emitted again. The rows of a large key meet in many tasks: one side is spread over salts, the other repeated for each."""
+    salts = F.ceil(F.col("n") / settings.salt).cast("int")
+    names = [c for c in rows.columns if c not in ("key", "kind", "n")]
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).select("key", "salt", "kind", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("key", "salt", *[F.col(c).alias(f"{c}_b") for c in names])
+    fresh = (F.col("rep_a") < F.col("rep_b")) & ((F.col("prev_a") != F.col("prev_b")) | (F.col("prev_a") == 0))
+    return left.join(right, ["key", "salt"]).filter(fresh if when is None else fresh & when).select("kind", "rep_a", "rep_b")
+
+
+def _prefix_rows(signed: Signed) -> DataFrame | None:
+    """(key, prev, kind, rep, size, place, n) for the prefix join of the members of hot buckets; None where no bucket is hot."""
+    settings = signed.settings
+    hot = materialize(signed.buckets.filter(F.col("n") > settings.hot).select("kind", "rep").distinct(), "p1-hot")
+    if not hot.limit(1).count():
+        return None
+    wanted = hot.join(signed.reps.select("kind", "rep", "digest"), ["kind", "rep"])
+    texts = signed.records.withColumnRenamed("item", "rep").join(wanted, ["kind", "rep", "digest"], "left_semi").dropDuplicates(["kind", "rep"])
+    texts = materialize(texts.select("kind", "rep", "text"), "p1-hot-texts")
+    table = texts.mapInArrow(_count_runs(settings), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    shared = hot.sparkSession.sparkContext.broadcast(counts)
+    rows = materialize(texts.mapInArrow(_prefix(settings, shared), "key long, prev int, kind int, rep long, size int, place int"), "p1-prefixes")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(several, "key")
+
+
+def _near_enough(settings: Settings) -> Column:
+    """Whether two sets that share this run, and none before it, can share as many as the threshold asks for."""
+    num, den = settings.threshold.numerator, settings.threshold.denominator
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    return most * (num + den) >= (F.col("size_a") + F.col("size_b")) * num
+
+
+def candidates(signed: Signed, group: DataFrame | None = None) -> DataFrame:
+    """(kind, rep_a, rep_b): pairs that meet in a bucket or, where it is hot, by the prefix join; with ``group`` (kind, rep, group) only pairs of different groups, from keys that several groups share."""
+    prefixes = _prefix_rows(signed)
+    if group is None:
+        found = _paired(signed.buckets.filter(F.col("n") <= signed.settings.hot), signed.settings)
+        if prefixes is not None:
+            found = found.unionByName(_paired(prefixes, signed.settings, _near_enough(signed.settings)))
+        return found.distinct()
+
+    def mixed(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+        rows = rows.join(group, ["kind", "rep"])
+        several = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
+        return materialize(rows.join(several, "key").select("key", "prev", "kind", "rep", "n", "group", *extra), "p1-mixed")
+
+    apart = F.col("group_a") != F.col("group_b")
+    found = _paired(mixed(signed.buckets.filter(F.col("n") <= signed.settings.hot)), signed.settings, apart)
+    if prefixes is not None:
+        found = found.unionByName(_paired(mixed(prefixes, ("size", "place")), signed.settings, apart & _near_enough(signed.settings)))
+    return found.distinct()
+
+
+def verified(signed: Signed, pairs: DataFrame) -> DataFrame:
+    """(kind, rep_a, rep_b, similarity) of the candidate pairs at or over the threshold: signatures in batches, then whole texts."""
+    settings = signed.settings
+    sig = signed.reps.select("kind", "rep", "sig")
+    with_sig = pairs.join(sig.select("kind", F.col("rep").alias("rep_a"), F.col("sig").alias("sig_a")), ["kind", "rep_a"])
+    with_sig = with_sig.join(sig.select("kind", F.col("rep").alias("rep_b"), F.col("sig").alias("sig_b")), ["kind", "rep_b"])
+    alive = materialize(with_sig.mapInArrow(_compare(settings), "kind int, rep_a long, rep_b long"), "p1-alive")
+    wanted = alive.select("kind", F.col("rep_a").alias("rep")).unionByName(alive.select("kind", F.col("rep_b").alias("rep"))).distinct()
+    wanted = wanted.join(signed.reps.select("kind", "rep", "digest"), ["kind", "rep"])
+    texts = signed.records.select("kind", F.col("item").alias("rep"), "digest", "text").join(wanted, ["kind", "rep", "digest"], "left_semi").dropDuplicates(["kind", "rep"])
     texts = materialize(texts, "p1-texts")
-    pairs = alive.join(texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a")
-    pairs = pairs.join(texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
-    exact = materialize(pairs.mapInArrow(_verify(settings), "rep_a long, rep_b long, similarity double"), "p1-pairs")
-    exact = exact.select(F.pmod("rep_a", F.lit(2)).cast("int").alias("kind"), F.floor(F.col("rep_a") / 2).alias("rep_a"), F.floor(F.col("rep_b") / 2).alias("rep_b"), "similarity")
-    return Links(members, exact)
+    both = alive.join(texts.select("kind", F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), ["kind", "rep_a"])
+    both = both.join(texts.select("kind", F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), ["kind", "rep_b"])
+    return materialize(both.mapInArrow(_verify(settings), "kind int, rep_a long, rep_b long, similarity double"), "p1-pairs")
 
 
-def groups(links: Links) -> DataFrame:
-    """(kind, item, class, group, copies, links): one row for each record with a set. ``class`` is the smallest id with the same set, ``group`` the smallest id that links of any length lead to, ``copies`` the number of records of the class and ``links`` the number of other classes at or over the threshold."""
-    members = materialize(links.members, "p1-members")
-    sizes = members.groupBy("kind", F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("copies"))
-    pairs = links.pairs.select("kind", F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    found = components(pairs, sizes, ["kind"], "p1")
-    ends = pairs.select("kind", F.col("a").alias("node")).unionByName(pairs.select("kind", F.col("b").alias("node")))
-    degrees = ends.groupBy("kind", "node").agg(F.count(F.lit(1)).alias("links"))
-    classes = found.join(sizes, ["kind", "node"]).join(degrees, ["kind", "node"], "left").withColumnRenamed("node", "rep")
-    return members.join(classes, ["kind", "rep"]).select("kind", "item", F.col("rep").alias("class"), F.col("block").alias("group"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+def link(records: DataFrame, settings: Settings | None = None) -> Links:
+    """Links of ``records`` (kind int, item long, text string; ids are unique within a kind, kinds are compared apart).
+
+    Defined cases: a null, empty or short text has no set, is no member and matches nothing; a row without an id takes no
+    part; a repeated id counts once, with the text of the smallest hash if they differ; the set of a long text covers
+    all of it; ties don't arise, as every pair at or over the threshold comes out; an empty table gives empty results;
+    other columns are ignored."""
+    signed = sign(records, settings or Settings())
+    pairs = materialize(candidates(signed), "p1-candidates")
+    return Links(signed.members, verified(signed, pairs))
+
+
+def groups(records: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(kind, item, class, group, copies): one row for each record with a set. ``class`` is the smallest id with the same set, ``copies`` the number of records of the class, ``group`` the smallest id that links at or over the threshold lead to, of any length. The defined cases are those of ``link``."""
+    signed = sign(records, settings or Settings())
+    members = materialize(signed.members, "p1-members")
+    sizes = materialize(members.groupBy("kind", F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("copies")), "p1-sizes")
+    centres = signed.buckets.groupBy("key").agg(F.min("rep").alias("rep_a"))
+    stars = signed.buckets.select("key", "kind", F.col("rep").alias("rep_b")).join(centres, "key").filter("rep_a < rep_b")
+    near = verified(signed, materialize(stars.select("kind", "rep_a", "rep_b").distinct(), "p1-stars"))
+    first = components(near.select("kind", F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), sizes.select("kind", "node"), ["kind"], "p1-first")
+    between = candidates(signed, first.select("kind", F.col("node").alias("rep"), F.col("block").alias("group")))
+    far = verified(signed, materialize(between, "p1-between"))
+    label = first.select("kind", "node", "block")
+    ends = far.join(label.select("kind", F.col("node").alias("rep_a"), F.col("block").alias("a")), ["kind", "rep_a"]).join(label.select("kind", F.col("node").alias("rep_b"), F.col("block").alias("b")), ["kind", "rep_b"])
+    blocks = first.select("kind", F.col("block").alias("node")).distinct()
+    second = components(ends.select("kind", "a", "b").filter("a <> b").distinct(), blocks, ["kind"], "p1-second")
+    found = first.join(second.select("kind", F.col("node").alias("block"), F.col("block").alias("group")), ["kind", "block"]).select("kind", "node", "group")
+    classes = found.join(sizes, ["kind", "node"]).withColumnRenamed("node", "rep")
+    return members.join(classes, ["kind", "rep"]).select("kind", "item", F.col("rep").alias("class"), "group", "copies")
 
 
 def record_pairs(links: Links, copies: DataFrame) -> DataFrame:
@@ -311,9 +434,9 @@ def _table_name():
 
 
 def near_groups(documents: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
-    """(rec_table, pk, class_pk, group_pk, copies, links) for ``documents`` (pk, text_content) and ``chunks`` (pk, text)."""
-    found = groups(link(_records(documents, chunks), settings))
-    return found.select(_table_name(), F.col("item").alias("pk"), F.col("class").alias("class_pk"), F.col("group").alias("group_pk"), "copies", "links")
+    """(rec_table, pk, class_pk, group_pk, copies) for ``documents`` (pk, text_content) and ``chunks`` (pk, text)."""
+    found = groups(_records(documents, chunks), settings)
+    return found.select(_table_name(), F.col("item").alias("pk"), F.col("class").alias("class_pk"), F.col("group").alias("group_pk"), "copies")
 
 
 def near_pairs(documents: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:

@@ -51,10 +51,8 @@ pairs AS (SELECT a.rec_table, a.pk AS a, b.pk AS b, count(*) AS c FROM rs a JOIN
 hit AS (SELECT p.rec_table, a, b FROM pairs p JOIN reps x ON x.rec_table = p.rec_table AND x.pk = a JOIN reps y ON y.rec_table = p.rec_table AND y.pk = b WHERE c * 10 >= 7 * (x.n + y.n - c)),
 ends AS (SELECT rec_table, a, b FROM hit UNION ALL SELECT rec_table, b, a FROM hit),
 reach AS (SELECT rec_table, pk AS a, pk AS b FROM reps UNION SELECT r.rec_table, r.a, e.b FROM reach r JOIN ends e ON e.rec_table = r.rec_table AND e.a = r.b),
-grp AS (SELECT rec_table, a, min(b) AS group_pk FROM reach GROUP BY ALL),
-deg AS (SELECT rec_table, a, count(*) AS links FROM ends GROUP BY ALL)
-SELECT cls.rec_table, cls.pk, class_pk, group_pk, copies, coalesce(links, 0) AS links
-FROM cls JOIN grp ON grp.rec_table = cls.rec_table AND grp.a = class_pk LEFT JOIN deg ON deg.rec_table = cls.rec_table AND deg.a = class_pk
+grp AS (SELECT rec_table, a, min(b) AS group_pk FROM reach GROUP BY ALL)
+SELECT cls.rec_table, cls.pk, class_pk, group_pk, copies FROM cls JOIN grp ON grp.rec_table = cls.rec_table AND grp.a = class_pk
 """
 
 P2_FOUND = """
