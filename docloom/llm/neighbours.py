@@ -1,22 +1,28 @@
 """Problem 2: the most similar vectors, by an inverted file with product-quantised residuals and exact reranking.
 
 Fit (driver, bounded sample): k-means centroids of unit vectors, and for each of ``parts`` slices of the residuals a
-codebook of 256 words. Every usable row is then indexed: its list is the nearest centroid, its code the nearest words,
-kept with the length of what the code leaves. The index is a table sorted by list and range-partitioned by (list, id),
-so a list that holds a third of all rows is spread over many files.
-
-Search: queries are taken in passes of bounded size, whose vectors are broadcast. A query visits the ``probe_share`` of
-lists nearest to it. Asymmetric distance tables (query slice times codeword) score the codes of a visited list; a row
-whose score, with ``slack`` standard deviations of its quantisation error, can reach the query's bound is reranked by
-its exact cosine in the same task. The bound is the similarity of the k-th best row of the fit sample, which the k-th
-best of all rows can't be below; a query that finds fewer than k rows over it has missed a list and visits all of them.
-Only the best ``k`` of each task are shuffled; nothing grows on the driver.
+codebook of 256 words. Lists are numbered so that close centroids have close numbers. Every usable row is then indexed:
+its list is the nearest centroid, its code the nearest words, kept with the length of what the code leaves. The index is
+a table range-partitioned and sorted by (list, id), so a list that holds a third of all rows is spread over many files.
+
+Search: a query visits ``spread`` times as many lists, nearest first, as it takes to reach those of its ``k`` best rows
+in the fit sample, but at least ``min_probes`` and at most ``max_probes``. Lists grow in number with the root of the rows
+(up to ``max_lists``), so the share of rows that a query meets falls as the table grows. Asymmetric distance tables (query
+slice times codeword) score the codes of a visited list; a row whose score, with ``slack`` standard deviations of its
+quantisation error, can reach the query's bound is reranked by its exact cosine in the same task. The bound is the
+similarity of the k-th best row of the fit sample, which the k-th best of all rows can't be below; a query that finds
+fewer than k rows over it has missed a list and visits all of them.
+
+Queries are taken in passes of bounded size, those of close lists together. One pass at a time has its vectors on the
+driver and broadcast, reads only the stretches of the index that it visits, and writes its results before the next
+begins. Only the best ``k`` of each task are shuffled; nothing grows on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +34,21 @@ from docloom.runtime import materialize
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """``sample``: rows at most, about, on which centroids and codebooks are fitted; all rows are indexed whatever it is."""
+    """``sample``: rows at most, about, on which centroids are fitted (16 a list if that is more), ``book_rows`` of which, about, fit the codebooks; all rows are indexed whatever they are. ``pass_size``: queries at most, about, of one pass; ``stretches``: ranges of lists that one pass reads at most."""
 
     dim: int = 64
     k: int = 10
     parts: int = 16
     sample: int = 40_000
-    max_lists: int = 2048
-    probe_share: float = 0.4
+    book_rows: int = 20_000
+    max_lists: int = 8192
+    spread: float = 3.0
     min_probes: int = 64
+    max_probes: int = 512
     slack: float = 5.0
     query_block: int = 512
     pass_size: int = 32_768
+    stretches: int = 32
     rounds: int = 8
 
 
@@ -50,6 +59,11 @@ class Codebooks:
     centroids: np.ndarray  # (lists, dim)
     words: np.ndarray  # (parts, 256, dim / parts)
 
+    @property
+    def directions(self) -> np.ndarray:
+        """Centroids of length 1; queries visit lists in the order of their cosine."""
+        return self.centroids / np.maximum(np.linalg.norm(self.centroids, axis=1, keepdims=True), 1e-12)
+
 
 def usable(vector: Column, dim: int) -> Column:
     """Not null, of the right length, finite, and not all zero."""
@@ -76,12 +90,23 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def in_order(centroids: np.ndarray) -> np.ndarray:
+    """The centroids in an order in which close ones are close: halves along the axis of largest variance, again and again."""
+    if len(centroids) <= 2:
+        return centroids
+    middle = centroids - centroids.mean(axis=0)
+    axis = np.linalg.eigh(middle.T @ middle)[1][:, -1]
+    order = np.argsort(middle @ axis, kind="stable")
+    half = len(order) // 2
+    return np.concatenate((in_order(centroids[order[:half]]), in_order(centroids[order[half:]])))
+
+
 def fit(sample: np.ndarray, lists: int, settings: IndexSettings) -> Codebooks:
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centroids = kmeans(x, lists, settings.rounds, 1)
+    centroids = in_order(kmeans(x, lists, settings.rounds, 1))
     rest = x - centroids[nearest(x, centroids)]
     width = settings.dim // settings.parts
-    few = rest[:: max(1, len(rest) // 10_000)]
+    few = rest[:: max(1, -(-len(rest) // settings.book_rows))]
     return Codebooks(centroids, np.stack([kmeans(few[:, p * width : (p + 1) * width], 256, settings.rounds, 2 + p) for p in range(settings.parts)]))
 
 
@@ -131,7 +156,7 @@ class Pass:
     ids: np.ndarray
     vectors: np.ndarray  # (queries, dim) unit, float64
     bound: np.ndarray  # similarity that a result must reach
-    reach: np.ndarray  # similarity of the last centroid that a query visits
+    reach: np.ndarray  # cosine of the last centroid that a query visits
 
 
 def _search(settings: IndexSettings, books, queries):
@@ -146,13 +171,14 @@ def _search(settings: IndexSettings, books, queries):
         slack = batch.column("error").to_numpy()[order] * np.float32(settings.slack / np.sqrt(settings.dim)) + np.float32(1e-5)
         starts = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
         ends = np.append(starts[1:], len(label))
+        lengths = np.maximum(np.linalg.norm(cells.centroids[label[starts]], axis=1), 1e-12).astype(np.float32)
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo in range(0, len(asked.ids), settings.query_block):
             part = asked.vectors[lo : lo + settings.query_block]
             part32 = part.astype(np.float32)
             bound = asked.bound[lo : lo + settings.query_block]
             coarse = part32 @ cells.centroids[label[starts]].T
-            visiting = coarse >= asked.reach[lo : lo + settings.query_block, None]
+            visiting = coarse / lengths >= asked.reach[lo : lo + settings.query_block, None]
             lookup = tables(part32, cells)
             for k in range(len(starts)):
                 who = np.flatnonzero(visiting[:, k])
@@ -202,15 +228,14 @@ def search(points: DataFrame, queries: DataFrame, settings: IndexSettings = Inde
     total = points.count()
     if not total:
         return spark.createDataFrame([], "query string, neighbour string, similarity double, rank int")
-    lists = int(min(settings.max_lists, max(1, 2 ** round(np.log2(total) / 2))))
+    lists = int(min(settings.max_lists, max(1, 2 ** (round(np.log2(total) / 2) + 1)), total))
     wanted = max(settings.sample, 16 * lists)
     share = int(min(1.0, wanted / total) * ((1 << 62) - 1))
     # repeated deliveries have one hash, so they are in the sample together and are made one there
     sampled = points.filter(F.shiftrightunsigned(F.xxhash64("id"), 2) <= share).groupBy("id").agg(F.min("vector").alias("vector")).select("vector").toArrow()
     sample = _unit(_rows_of(sampled.column("vector").combine_chunks(), dim)).astype(np.float32)
     books = spark.sparkContext.broadcast(fit(sample, lists, settings))
-    seen = spark.sparkContext.broadcast(sample)
-    visits = min(lists, max(settings.min_probes, int(np.ceil(lists * settings.probe_share))))
+    seen = spark.sparkContext.broadcast((sample, nearest(sample, books.value.centroids)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,24 +246,36 @@ def search(points: DataFrame, queries: DataFrame, settings: IndexSettings = Inde
                 yield pa.RecordBatch.from_arrays([part.column("id"), _binary(rows), pa.array(label.astype(np.int32)), _binary(codes), pa.array(error)], names=["id", "vector", "list", "codes", "error"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = books.value.directions.astype(np.float32)
+        known, where = seen.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 rows = _unit(_matrix(part.column("vector"), dim)).astype(np.float32)
-                near = rows @ books.value.centroids.T
-                reach = np.partition(near, lists - visits, axis=1)[:, lists - visits]
-                like = rows @ seen.value.T
+                near = rows @ directions.T
+                like = rows @ known.T
                 # the query itself may be in the sample, so one more than k
                 n = like.shape[1] - settings.k - 1
-                bound = np.partition(like, n, axis=1)[:, n] if n >= 0 else np.full(len(rows), -2.0)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vector"), pa.array((bound - 1e-5).astype(np.float32)), pa.array((reach - 1e-6).astype(np.float32))], names=["id", "vector", "bound", "reach"])
+                if n >= 0:
+                    best = np.argpartition(like, n, axis=1)[:, n:]
+                    bound = np.take_along_axis(like, best, axis=1).min(axis=1)
+                    last = np.take_along_axis(near, where[best], axis=1).min(axis=1)
+                    visits = np.clip(np.ceil(settings.spread * (near >= last[:, None]).sum(axis=1)), settings.min_probes, settings.max_probes).astype(int)
+                    ranked = -np.sort(-near, axis=1)
+                    reach = ranked[np.arange(len(rows)), np.minimum(visits, lists) - 1]
+                else:
+                    bound, reach = np.full(len(rows), -2.0), np.full(len(rows), -2.0)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("vector"), pa.array((bound - 1e-5).astype(np.float32)), pa.array((reach - 1e-6).astype(np.float32)), pa.array(near.argmax(axis=1).astype(np.int32))],
+                    names=["id", "vector", "bound", "reach", "first"],
+                )
 
     vectors = points.groupBy("id").agg(F.min("vector").alias("vector"))
     indexed = vectors.mapInArrow(index, "id string, vector binary, list int, codes binary, error float")
     indexed = materialize(indexed.repartitionByRange("list", "id").sortWithinPartitions("list", "id"), "p2-index")
     asked = indexed.select("id", "vector").join(queries.select("id").distinct(), "id", "left_semi")
-    asked = materialize(asked.mapInArrow(ask, "id string, vector binary, bound float, reach float"), "p2-queries")
-    found = materialize(_best(indexed, asked, books, settings), "p2-found")
+    asked = materialize(asked.mapInArrow(ask, "id string, vector binary, bound float, reach float, first int"), "p2-queries")
+    found = _best(indexed, asked, books, settings)
     # fewer than k results at or over the bound prove that a list was missed: these queries visit all lists
     full = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(settings.k, total - 1)).select(F.col("query").alias("id"))
     short = materialize(asked.join(full, "id", "left_anti").withColumn("reach", F.lit(-2.0).cast("float")), "p2-short")
@@ -246,17 +283,54 @@ def search(points: DataFrame, queries: DataFrame, settings: IndexSettings = Inde
     return found.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(again)
 
 
+def _passes(asked: DataFrame, settings: IndexSettings) -> list[Column]:
+    """Conditions that cut the queries into passes of about ``pass_size`` by their nearest list; a list with more is cut by a hash of the id. The counts are one row a list."""
+    counts = sorted((r[0], r[1]) for r in asked.groupBy("first").count().collect())
+    out: list[Column] = []
+    low, size = None, 0
+    for at, (number, n) in enumerate(counts):
+        if low is None:
+            low, size = number, 0
+        size += n
+        if size >= settings.pass_size or at == len(counts) - 1 or counts[at + 1][1] >= settings.pass_size:
+            parts = -(-size // settings.pass_size) if size > 2 * settings.pass_size else 1
+            mine = F.col("first").between(low, number)
+            out += [mine & (F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else mine for k in range(parts)]
+            low = None
+    return out
+
+
+def _stretches(visited: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first, last) of at most ``most`` ranges of lists that hold all visited ones, the widest gaps left out."""
+    at = np.flatnonzero(visited)
+    if not len(at):
+        return []
+    gaps = np.diff(at)
+    cuts = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
+    cuts = cuts[gaps[cuts] > 1]
+    return [(int(at[a]), int(at[b])) for a, b in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(at) - 1])))]
+
+
 def _best(indexed: DataFrame, asked: DataFrame, books, settings: IndexSettings) -> DataFrame:
-    """(query, neighbour, similarity, rank) over the index, queries in passes by a hash of their id."""
+    """(query, neighbour, similarity, rank) over the index, one pass of queries after the other."""
     spark = indexed.sparkSession
-    passes = -(-asked.count() // settings.pass_size)
-    found = None
-    for k in range(passes):
-        table = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).orderBy("id").toArrow()
-        one = Pass(np.array(table.column("id").to_pylist(), dtype=object), _unit(_matrix(table.column("vector"), settings.dim)), table.column("bound").to_numpy(), table.column("reach").to_numpy())
-        part = indexed.mapInArrow(_search(settings, books, spark.sparkContext.broadcast(one)), "query string, neighbour string, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query string, neighbour string, similarity double, rank int")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.k)
+    found = spark.createDataFrame([], "query string, neighbour string, similarity double, rank int")
+    for condition in _passes(asked, settings):
+        table = asked.filter(condition).orderBy("id").toArrow()
+        one = Pass(np.array(table.column("id").to_pylist(), dtype=object), _unit(_matrix(table.column("vector"), settings.dim)), table.column("bound").to_numpy(), table.column("reach").to_numpy())
+        visited = np.zeros(len(books.value.centroids), bool)
+        directions = books.value.directions.astype(np.float32)
+        for lo in range(0, len(one.ids), settings.query_block):
+            part = slice(lo, lo + settings.query_block)
+            visited |= (one.vectors[part].astype(np.float32) @ directions.T >= one.reach[part, None]).any(axis=0)
+        rows = indexed
+        if not visited.all():
+            ranges = [F.col("list").between(*r) for r in _stretches(visited, settings.stretches)]
+            rows = indexed.filter(reduce(lambda a, b: a | b, ranges)) if ranges else indexed.limit(0)
+        shared = spark.sparkContext.broadcast(one)
+        hits = rows.mapInArrow(_search(settings, books, shared), "query string, neighbour string, similarity double")
+        hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.k)
+        found = found.unionByName(materialize(hits, "p2-found"))
+        shared.unpersist()
+    return found

@@ -31,6 +31,13 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return neighbours.search(points, probes).selectExpr("query AS chunk_id", "neighbour AS neighbour_id")
 
 
+def p2_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """The neighbours of the chunks whose pk is divisible by 100, among all points."""
+    points = read_table(spark, directory, "vector_point").selectExpr("chunk_id AS id", "vector")
+    asked = read_table(spark, directory, "chunk_record", "pk", "id").filter("pk % 100 = 0").select("id")
+    return neighbours.search(points, asked).selectExpr("query AS chunk_id", "neighbour AS neighbour_id", "round(similarity, 5) AS similarity", "rank")
+
+
 def _pages(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "document_record").selectExpr("pk AS doc", "crate AS source", "text_content AS text")
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
     "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,

@@ -65,6 +65,17 @@ s AS (
 SELECT chunk_id, neighbour_id FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY c DESC, neighbour_id) <= 10
 """
 
+P2_NEIGHBOURS = """
+WITH v AS (
+  SELECT DISTINCT chunk_id, vector::DOUBLE[] AS x FROM vector_point
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda e: isnan(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0),
+s AS (
+  SELECT q.chunk_id, v.chunk_id AS neighbour_id, list_cosine_similarity(q.x, v.x) AS c
+  FROM (SELECT DISTINCT id AS chunk_id FROM chunk_record WHERE pk % 100 = 0) JOIN v q USING (chunk_id) JOIN v ON v.chunk_id <> q.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY c DESC, neighbour_id) AS rank FROM s)
+SELECT chunk_id, neighbour_id, round(c, 5) AS similarity, rank::INT AS rank FROM r WHERE rank <= 10
+"""
+
 _P3 = r"""
 WITH d AS (SELECT DISTINCT pk, crate, text_content AS text FROM document_record),
 l AS (SELECT pk, crate, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM d),
@@ -94,6 +105,7 @@ ORACLE: dict[str, str] = {
     "p1_found": P1_FOUND,
     "p1_groups": P1_GROUPS,
     "p2_found": P2_FOUND,
+    "p2_neighbours": P2_NEIGHBOURS,
     "p3_found": P3_FOUND,
     "p3_cleaned": P3_CLEANED,
     "p4_found": P4_FOUND,

@@ -62,3 +62,27 @@ def test_hot_list_and_queries_in_passes(spark):
     got = nb.search(frame(spark, rows), spark.createDataFrame([(q,) for q in asked], "id string"), nb.IndexSettings(pass_size=10, query_block=4))
     want = brute([(i, np.float32(v)) for i, v in rows], asked)
     assert len({(r.query, r.neighbour) for r in got.collect()} & want) / len(want) >= 0.97
+
+
+def test_many_passes_read_only_what_they_visit(spark):
+    rows = data(3000, 7)
+    asked = [i for i, _ in rows]
+    settings = nb.IndexSettings(sample=1000, min_probes=8, max_probes=24, pass_size=400)
+    got = nb.search(frame(spark, rows), spark.createDataFrame([(q,) for q in asked], "id string"), settings)
+    pairs = {(r.query, r.neighbour) for r in got.collect()}
+    want = brute(rows, asked)
+    assert len(pairs) == len(want) == 30_000 and len(pairs & want) / len(want) >= 0.95
+
+
+def test_passes_hold_each_query_once(spark):
+    df = spark.createDataFrame([(f"q{k}", 0 if k < 500 else k % 9) for k in range(900)], "id string, first int")
+    conditions = nb._passes(df, nb.IndexSettings(pass_size=100))
+    parts = [df.filter(c).count() for c in conditions]
+    assert sum(parts) == 900 and max(parts) <= 300 and df.filter(sum(c.cast("int") for c in conditions) != 1).count() == 0
+
+
+def test_stretches_hold_all_visited_lists():
+    visited = np.zeros(100, bool)
+    visited[[3, 4, 10, 50, 51, 99]] = True
+    assert nb._stretches(visited, 3) == [(3, 10), (50, 51), (99, 99)] and nb._stretches(visited, 99) == [(3, 4), (10, 10), (50, 51), (99, 99)]
+    assert nb._stretches(visited, 1) == [(3, 99)] and nb._stretches(visited & False, 3) == []
