@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from docloom.llm import canonical
 
 SCHEMA = "pk long, text string, hash string, key string, kept long"
@@ -68,20 +70,70 @@ def test_batches_give_the_same_ledger(spark):
     rs = rows()
     sizes = {}
     for batches in (1, 5):
-        ledger, _ = canonical.collapse(frame(spark, rs), batches=batches)
-        sizes[batches] = sorted((r.kept, r.copies) for r in ledger.collect())
+        ledger = canonical.collapse(frame(spark, rs), batches=batches)
+        sizes[batches] = sorted({(r.kept, r.copies) for r in ledger.groups().collect()})
     assert sizes[1] == sizes[5] and sum(n for _, n in sizes[1]) == len(rs)
 
 
-def test_ledger_adds_counts_and_keeps_the_earliest(spark):
-    ledger = canonical.Ledger(spark, buckets=4)
-    make = lambda xs: spark.createDataFrame([(bytearray(k), i) for k, i in xs], "k binary, i long")
-    ledger.update(make([(b"a", 5), (b"a", 6), (b"b", 9)]), "k", "i")
-    before = dict(ledger.current)
-    ledger.update(make([(b"a", 2)]), "k", "i")
-    ledger.update(make([]), "k", "i")
-    assert {(bytes(r.key), r.copies, r.kept) for r in ledger.read().collect()} == {(b"a", 3, 2), (b"b", 1, 9)}
-    assert sum(before[b] != ledger.current[b] for b in before) == 1  # only the bucket that the batch touched
+def keys(spark, xs):
+    return spark.createDataFrame([(i, bytearray(p), None if f is None else bytearray(f)) for i, p, f in xs], "item long, plain binary, fields binary")
+
+
+def state(ledger):
+    return {(bytes(r.plain), r.copies, r.kept) for r in ledger.groups().collect()}
+
+
+def test_ledger_adds_counts_and_keeps_the_earliest(spark, tmp_path):
+    ledger = canonical.Ledger(spark, f"file://{tmp_path}", buckets=4)
+    assert ledger.update(keys(spark, [(5, b"a", None), (6, b"a", None), (9, b"b", None)]), "one")
+    before = ledger._version()[1]["tables"]["counts"]["at"]
+    assert ledger.update(keys(spark, [(2, b"a", None)]), "two") and ledger.update(keys(spark, []), "none")
+    assert state(ledger) == {(b"a", 3, 2), (b"b", 1, 9)}
+    after = ledger._version()[1]["tables"]["counts"]["at"]
+    assert sum(before[b] != after[b] for b in before) == 1  # only the bucket that the batch touched
+
+
+def test_ledger_reopened_and_batches_or_ids_repeated(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    first = [(1, b"a", None), (2, b"a", None), (3, b"b", None), (3, b"c", None)]
+    assert canonical.Ledger(spark, path).update(keys(spark, first), "one")
+    again = canonical.Ledger(spark, path)
+    assert state(again) == {(b"a", 2, 1), (b"b", 1, 3)}
+    assert not again.update(keys(spark, first), "one")
+    assert again.update(keys(spark, [*first, (4, b"a", None)]), "same ids under another name")
+    assert state(canonical.Ledger(spark, path)) == {(b"a", 3, 1), (b"b", 1, 3)}
+
+
+def test_late_record_links_groups_of_earlier_batches(spark, tmp_path):
+    ledger = canonical.Ledger(spark, f"file://{tmp_path}", buckets=2)
+    ledger.update(keys(spark, [(1, b"p1", b"f1"), (2, b"p2", b"f2"), (3, b"p3", b"f3"), (4, b"p4", None)]), "one")
+    assert len({bytes(r.group) for r in ledger.groups().collect()}) == 4
+    ledger.update(keys(spark, [(5, b"p1", b"f2")]), "joins the first two")
+    assert {(bytes(r.plain), r.copies, r.kept) for r in ledger.groups().collect()} == {(b"p1", 3, 1), (b"p2", 3, 1), (b"p3", 1, 3), (b"p4", 1, 4)}
+    ledger.update(keys(spark, [(6, b"p3", b"f2"), (7, b"p9", b"f9")]), "and the third")
+    ledger.update(keys(spark, [(8, b"p9", b"f1")]), "and one more")
+    got = {bytes(r.plain): (r.copies, r.kept) for r in ledger.groups().collect()}
+    assert got == {b"p1": (7, 1), b"p2": (7, 1), b"p3": (7, 1), b"p9": (7, 1), b"p4": (1, 4)}
+
+
+def test_second_writer_is_told(spark, tmp_path, monkeypatch):
+    ledger = canonical.Ledger(spark, f"file://{tmp_path}")
+    ledger.update(keys(spark, [(1, b"a", None)]), "one")
+    stale = ledger._version()
+    ledger.update(keys(spark, [(2, b"a", None)]), "two")
+    monkeypatch.setattr(ledger, "_version", lambda: stale)
+    with pytest.raises(canonical.LedgerConflict):
+        ledger.update(keys(spark, [(3, b"a", None)]), "three")
+    assert state(canonical.Ledger(spark, f"file://{tmp_path}")) == {(b"a", 2, 1)}
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path):
+    ledger = canonical.Ledger(spark, f"file://{tmp_path}", buckets=2, bucket_rows=50)
+    for k in range(3):
+        ledger.update(keys(spark, [(k * 300 + j, f"k{k}-{j // 2}".encode(), None) for j in range(300)]), f"batch {k}")
+    tables = ledger._version()[1]["tables"]
+    assert tables["items"]["buckets"] == 32 and tables["counts"]["buckets"] >= 16
+    assert len(state(ledger)) == 450 and all(n == 2 for _, n, _ in state(ledger)) and ledger.read("items").count() == 900
 
 
 def test_hot_group_and_empty(spark):
