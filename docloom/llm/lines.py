@@ -63,7 +63,7 @@ def boilerplate(documents: DataFrame, support: Support = Support()) -> tuple[Dat
     found = materialize(hashed.join(F.broadcast(kept) if _small(kept) else kept, ["source", "node"]).select("doc", "source", "line_no", "node", "line", "support", "pages").distinct(), "p3-found")
     nxt = found.select("doc", "source", (F.col("line_no") - 1).alias("line_no"), F.col("node").alias("b"))
     pairs = found.select("doc", "source", "line_no", F.col("node").alias("a"), "pages").join(nxt, ["doc", "source", "line_no"]).filter("a <> b")
-    # text_content parts its blocks by blank lines: lines two apart with nothing but a short line between are neighbours too
+    # text_content parts its blocks by blank lines: lines two apart are neighbours too
     nxt2 = found.select("doc", "source", (F.col("line_no") - 2).alias("line_no"), F.col("node").alias("b"))
     pairs = pairs.unionByName(found.select("doc", "source", "line_no", F.col("node").alias("a"), "pages").join(nxt2, ["doc", "source", "line_no"]).filter("a <> b"))
     pairs = pairs.select("source", "doc", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "pages").distinct()
@@ -76,6 +76,12 @@ def boilerplate(documents: DataFrame, support: Support = Support()) -> tuple[Dat
     return blocks, occurrences
 
 
+def joined_blocks(blocks: DataFrame) -> DataFrame:
+    """(source, block_line, lines, members, strongest): one row for each block of ``blocks`` that edges join of two lines or more: its first line in order, the number of its lines, a hash of all of them in order, and the highest support of a line. Lines that no edge joins to another are blocks of one and don't come out. Of a block only its lines' hashes are gathered, at most as many as a source keeps lines."""
+    found = blocks.groupBy("source", "block").agg(F.min("line").alias("block_line"), F.count(F.lit(1)).alias("lines"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("members"), F.max("support").alias("strongest"))
+    return found.filter("lines > 1").drop("block")
+
+
 #: Rows of kept lines up to which they are broadcast; beyond, the join shuffles hashes.
 BROADCAST_ROWS = 50_000
 

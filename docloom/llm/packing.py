@@ -65,12 +65,14 @@ def knapsack(sizes: list[int], values: list[float], capacity: int) -> tuple[floa
     return total, counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], float]]:
-    """(configuration, how often) of the linear program that covers the demand with the fewest containers, by column generation."""
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """(configuration, how often) of the linear program that covers the demand with the fewest containers, by column generation until no configuration is worth more than 1. A basis that comes again would go round for ever and ends it; what it has is a valid cover."""
     n = len(sizes)
     basis = [[capacity // s if k == j else 0 for j in range(n)] for k, s in enumerate(sizes)]
     amount = np.array([d / (capacity // s) for d, s in zip(demand, sizes)], float)
-    for _ in range(rounds):
+    seen: set[int] = set()
+    while (mark := hash(tuple(sorted(map(tuple, basis))))) not in seen:
+        seen.add(mark)
         matrix = np.array(basis, float).T
         dual = np.linalg.solve(matrix.T, np.ones(n))
         value, column = knapsack(sizes, dual.tolist(), capacity)

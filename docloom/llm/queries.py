@@ -6,9 +6,10 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import canonical, garble, leaks, lines, mainbody, neardup, neighbours, packing, split
-from docloom.runtime import read_table
+from docloom.runtime import read_table, scratch
 
 
 #: The statement of the task's data for problem 1: three words, similarity 0.7.
@@ -47,6 +48,12 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return occurrences.selectExpr("doc AS pk", "line_no").distinct()
 
 
+def p3_blocks(spark: SparkSession, directory: str) -> DataFrame:
+    """The boilerplate blocks of each crate: which lines the graph's edges join."""
+    blocks, _ = lines.boilerplate(_pages(spark, directory))
+    return lines.joined_blocks(blocks).selectExpr("source AS crate", "block_line", "lines", "members", "strongest")
+
+
 def p3_cleaned(spark: SparkSession, directory: str) -> DataFrame:
     pages = _pages(spark, directory)
     _, occurrences = lines.boilerplate(pages)
@@ -59,6 +66,22 @@ def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split.split_texts(documents.unionByName(chunks)).withColumnsRenamed({"kind": "rec_table", "item": "pk"})
 
 
+def p4_ranges(spark: SparkSession, directory: str) -> DataFrame:
+    """Pieces of the page texts, worked on in ranges of 4,096 code points, so that most texts are cut by several workers."""
+    documents = read_table(spark, directory, "document_record").selectExpr("'document_record' AS kind", "pk AS item", "0 AS start_offset", "text_content AS text")
+    pieces = split.split_texts(documents, split.Limits(span=4096))
+    return pieces.selectExpr("item AS pk", "piece_no", "piece_start", "piece_end", "md5(text) AS text_md5")
+
+
+def p4_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Pieces of the table's documents as files: one for each crate, written to the shared folder and cut by byte ranges of 64 KB."""
+    documents = read_table(spark, directory, "documents", "doc_id", "text", "crate").filter("text IS NOT NULL")
+    folder = scratch(spark, "p4-files")
+    documents.selectExpr("coalesce(crate, 'none') AS crate", "text").hint("rebalance", "crate").write.partitionBy("crate").text(folder)
+    pieces = split.split_files(spark, folder, "*.txt", split.Limits(file_span=64 << 10))
+    return pieces.selectExpr("split(path, '/p4-files-')[1] AS file", "piece_no", "start_offset", "end_offset", "length(text) AS chars")
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return p4_pieces(spark, directory).filter("piece_no > 0").select("rec_table", "pk").distinct()
 
@@ -84,6 +107,13 @@ def p7_packed(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(documents).withColumnRenamed("doc", "doc_id")
 
 
+def p7_fill(spark: SparkSession, directory: str) -> DataFrame:
+    """How full the containers are: containers, tokens, the fewest containers that the tokens could need, and the share of the space that is used."""
+    packed = p7_packed(spark, directory).filter("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    total = packed.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return total.selectExpr("containers", "tokens", "fullest", "ceil(tokens / 2048) AS least_containers", "round(tokens / (containers * 2048), 5) AS fill")
+
+
 def p8_leaks(spark: SparkSession, directory: str) -> DataFrame:
     documents = read_table(spark, directory, "documents").selectExpr("doc_id AS doc", "text")
     passages = read_table(spark, directory, "eval_passage").selectExpr("item_id AS item", "passage AS text")
@@ -109,14 +139,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
+    "p3_blocks": p3_blocks,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_ranges": p4_ranges,
+    "p4_files": p4_files,
     "p5_found": p5_found,
     "p5_main_body": p5_main_body,
     "p5_decisions": p5_decisions,
     "p6_found": p6_found,
     "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,

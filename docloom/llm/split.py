@@ -108,14 +108,22 @@ def split_texts(records: DataFrame, limits: Limits = Limits()) -> DataFrame:
     size, span = limits.size, limits.span
     long = records.select("kind", "item", F.col("start_offset").cast("long").alias("base"), "text").filter((F.length("text") > size) & F.col("kind").isNotNull() & F.col("item").isNotNull())
     long = long.groupBy("kind", "item").agg(F.min(F.struct("text", "base")).alias("r")).select("kind", "item", "r.base", "r.text")
-    n = F.length("text")
     # a rest shorter than a piece belongs to the range before it
-    ranges = F.greatest(F.lit(1), F.floor((n - size) / span).cast("int") + 1)
-    part = long.withColumn("ranges", ranges).withColumn("range_no", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
-    lo, halo = F.col("range_no") * span, F.when(F.col("range_no") > 0, F.lit(size)).otherwise(F.lit(0))
-    width = F.when(F.col("range_no") == F.col("ranges") - 1, F.length("text")).otherwise(F.lit(span) + halo)
-    part = part.select("kind", "item", "base", "range_no", "ranges", halo.alias("halo"), (lo - halo).cast("long").alias("at"), F.substring("text", lo - halo + 1, width).alias("text"))
-    whole, spread = part.filter("ranges = 1"), part.filter("ranges > 1").repartition("kind", "item", "range_no")
+    counted = long.withColumn("ranges", F.greatest(F.lit(1), F.floor((F.length("text") - size) / span).cast("int") + 1))
+    shape = "kind string, item long, base long, range_no int, ranges int, halo int, at long, text string"
+
+    def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The ranges of giant texts with their halos, by position, in one pass over each text."""
+        for batch in batches:
+            for r in batch.itertuples():
+                for k in range(r.ranges):
+                    halo = size if k else 0
+                    end = len(r.text) if k == r.ranges - 1 else (k + 1) * span
+                    row = (r.kind, r.item, r.base, k, r.ranges, halo, k * span - halo, r.text[k * span - halo : end])
+                    yield pd.DataFrame([row], columns=["kind", "item", "base", "range_no", "ranges", "halo", "at", "text"]).astype({"base": "Int64"})
+
+    whole = counted.filter("ranges = 1").select("kind", "item", "base", F.lit(0).alias("range_no"), "ranges", F.lit(0).alias("halo"), F.lit(0).cast("long").alias("at"), "text")
+    spread = counted.filter("ranges > 1").mapInPandas(sliced, shape).repartition("kind", "item", "range_no")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

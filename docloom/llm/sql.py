@@ -88,6 +88,20 @@ P3_CLEANED = _P3 + """
 SELECT pk, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE k.line IS NULL), '') AS text, count(k.line) AS removed
 FROM n LEFT JOIN k USING (crate, line) GROUP BY pk"""
 
+P3_BLOCKS = "WITH RECURSIVE " + _P3.strip().removeprefix("WITH ") + """,
+f AS (SELECT DISTINCT pk, crate, line_no, line FROM n JOIN k USING (crate, line)),
+e AS (
+  SELECT crate, least(a.line, b.line) AS a, greatest(a.line, b.line) AS b FROM f a JOIN f b USING (pk, crate) JOIN p USING (crate)
+  WHERE b.line_no - a.line_no IN (1, 2) AND a.line <> b.line
+  GROUP BY crate, least(a.line, b.line), greatest(a.line, b.line), pages HAVING count(DISTINCT pk) >= 8 AND count(DISTINCT pk) >= 0.05 * pages),
+ends AS (SELECT crate, a, b FROM e UNION ALL SELECT crate, b, a FROM e),
+reach AS (SELECT crate, line AS a, line AS b FROM k UNION SELECT r.crate, r.a, x.b FROM reach r JOIN ends x ON x.crate = r.crate AND x.a = r.b),
+block AS (SELECT crate, a AS line, min(b) AS block_line FROM reach GROUP BY ALL),
+support AS (SELECT crate, line, count(DISTINCT pk) AS s FROM f GROUP BY ALL)
+SELECT crate, block_line, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY line)) AS members, max(s) AS strongest
+FROM block JOIN support USING (crate, line) GROUP BY crate, block_line HAVING count(*) > 1
+"""
+
 P4_FOUND = """
 SELECT DISTINCT 'document_record' AS rec_table, pk FROM document_record WHERE length(text_content) > 1400
 UNION ALL SELECT DISTINCT 'chunk_record', pk FROM chunk_record WHERE length(text) > 1400
@@ -108,6 +122,7 @@ ORACLE: dict[str, str] = {
     "p2_neighbours": P2_NEIGHBOURS,
     "p3_found": P3_FOUND,
     "p3_cleaned": P3_CLEANED,
+    "p3_blocks": P3_BLOCKS,
     "p4_found": P4_FOUND,
     "p6_found": P6_FOUND,
     "p8_found": P8_FOUND,

@@ -53,3 +53,18 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     assert {(r.doc, r.line_no) for r in found.collect()} == brute(rows)
     blocks, found = lines.boilerplate(spark.createDataFrame([], "doc long, source string, text string"))
     assert blocks.count() == 0 and found.count() == 0
+
+
+def test_blocks_need_edges(spark):
+    """Two notices of two lines each, equally frequent, that never stand side by side are two blocks; a third line that stands alone is none."""
+    rows = []
+    for k in range(40):
+        pair = ("first notice, line one", "first notice, line two") if k % 2 else ("second notice, line one", "second notice, line two")
+        rows.append((k, "s", "\n".join([f"some text of page {k} that is its own", *pair, f"more text of page {k} and only of it", f"and yet more of {k} that is its own", "a line that stands alone here", f"end of page {k} as it is"]), "x"))
+    df = spark.createDataFrame(rows, "doc long, source string, text string, node string")
+    blocks, _ = lines.boilerplate(df)
+    got = {(r.block_line, r.lines, r.strongest) for r in lines.joined_blocks(blocks).collect()}
+    assert got == {("first notice, line one", 2, 20), ("second notice, line one", 2, 20)}
+    assert blocks.count() == 5
+    mixed = spark.createDataFrame([(d, s, t.replace("\nmore text", "\na line that stands alone here\nmore text"), n) for d, s, t, n in rows], df.schema)
+    assert [(r.lines) for r in lines.joined_blocks(lines.boilerplate(mixed)[0]).collect()] == [5]

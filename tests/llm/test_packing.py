@@ -84,3 +84,15 @@ def test_documents_into_containers(spark, words_tokenizer):
 
 def test_no_documents(spark, words_tokenizer):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PackSettings(tokenizer=words_tokenizer)).count() == 0
+
+
+def test_column_generation_runs_to_its_end():
+    """No configuration is worth more than 1 at the end, however many rounds that takes."""
+    rng = np.random.default_rng(2)
+    sizes = sorted(rng.choice(np.arange(520, 2048), 150, replace=False).tolist(), reverse=True)
+    demand = rng.integers(1, 500, 150).tolist()
+    found = packing.configurations(sizes, demand, 2048)
+    matrix = np.array([c for c, _ in found], float).T
+    value, _ = packing.knapsack(sizes, np.linalg.solve(matrix.T, np.ones(150)).tolist(), 2048)
+    assert value <= 1 + 1e-6
+    assert (matrix @ np.array([x for _, x in found]) >= np.array(demand) - 1e-6).all()
