@@ -55,6 +55,35 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("change", F.when(rb < ra, "improved").when(rb > ra, "regressed").otherwise("same"))
 
 
+def deltas(a: DataFrame, b: DataFrame, elapsed: str | None = None) -> DataFrame:
+    """One row for two runs of unique cases: how much ``b`` is over ``a`` in hit rate, mean reciprocal rank and, if ``elapsed`` is named, mean latency, and how many cases of both improved, regressed or stayed."""
+    def side(run: DataFrame, s: str) -> DataFrame:
+        return run.select("case_id", F.lit(1).alias(f"in_{s}"), F.col("rank").alias(f"rank_{s}"), *([F.col(elapsed).alias(f"ms_{s}")] if elapsed else []))
+
+    both = side(a, "a").join(side(b, "b"), "case_id", "full")
+    worst = F.lit(2**31 - 1)
+    ra, rb = F.coalesce("rank_a", worst), F.coalesce("rank_b", worst)
+    shared = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+
+    def share(s: str, value: Column) -> Column:
+        return F.coalesce(F.sum(value) / F.nullif(F.count(f"in_{s}"), F.lit(0)), F.lit(0.0))
+
+    out = [
+        (share("b", F.col("rank_b").isNotNull().cast("int")) - share("a", F.col("rank_a").isNotNull().cast("int"))).alias("hit_rate_delta"),
+        (share("b", 1 / F.col("rank_b")) - share("a", 1 / F.col("rank_a"))).alias("mrr_delta"),
+        *([(F.avg("ms_b") - F.avg("ms_a")).alias("average_latency_ms_delta")] if elapsed else []),
+        *[F.count(F.when(shared & on, 1)).alias(name) for name, on in (("improved", rb < ra), ("regressed", rb > ra), ("same", rb == ra))],
+    ]
+    return both.agg(*out)
+
+
+def with_errors(results: DataFrame, errors: DataFrame) -> DataFrame:
+    """Results (case_id, rank) with ``error`` from ``errors`` (case_id, error): a case that failed has no rank, whatever hits it got, and so counts as a miss. The first error in order counts."""
+    first = errors.groupBy("case_id").agg(F.min("error").alias("error"))
+    joined = results.join(first, "case_id", "left")
+    return joined.withColumn("rank", F.when(F.col("error").isNull(), F.col("rank")))
+
+
 def passes(results: DataFrame, least: float = 0.8) -> bool:
     """Whether the hit rate reaches the gate; no results fail it unless it is 0."""
     return summary(results).first()["hit_rate"] >= least

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions import metadata
 from docloom.functions.text import render_blocks
 from docloom.operators.html_kernel import NOISE, Node, blocks_of, first, joined, parse, remove_all, select
+from docloom.runtime import materialize
 from docloom.schemas import BLOCK
 
 # Where the content of a page stands and what else is noise, by layout.
@@ -40,12 +41,22 @@ def layout_of(crate: str) -> str:
 
 def has_content(html: str) -> bool:
     """Whether a page has more than headings, noise apart."""
-    root = parse(html)
+    return tree_has_content(parse(html))
+
+
+def tree_has_content(root: Node) -> bool:
+    """The same of a parsed page, which stays as it is."""
     main = next((n for s in CHECK_MAIN if (n := first(root, s))), None)
     if main is None:
         return False
-    remove_all(main, CHECK_NOISE)
-    return any(n.tag in CONTENT_TAGS for n in main.walk())
+    noise = {id(n) for s in CHECK_NOISE for n in select(main, s)}
+    waiting = [main]
+    while waiting:
+        node = waiting.pop()
+        if node.tag in CONTENT_TAGS:
+            return True
+        waiting += [c for c in node.children if isinstance(c, Node) and id(c) not in noise]
+    return False
 
 
 def _file_title(path: PurePosixPath) -> str | None:
@@ -120,61 +131,83 @@ class Parsed:
     version: str | None = None
     reason: str | None = None
     message: str | None = None
+    meaningful: bool = True
 
 
 def parse_page(html: str | None, source_path: str, crate: str) -> Parsed:
-    """One page; whatever goes wrong becomes a reason: read_error, missing_title, missing_main_content, empty_text, unsupported_source or unexpected_error."""
+    """One page, parsed once; ``meaningful`` says whether it has content beside headings, and is True where it can't be told. Whatever goes wrong becomes a reason: read_error, missing_title, missing_main_content, empty_text, unsupported_source or unexpected_error."""
     if html is None:
         return Parsed(reason="read_error", message="no content")
+    meaningful = True
     try:
         root, layout = parse(html), layout_of(crate)
-        facts = Parsed(title_of(root, source_path, crate), breadcrumbs=breadcrumbs_of(root), version=version_facts(root, source_path))
+        meaningful = tree_has_content(root)
+        facts = Parsed(title_of(root, source_path, crate), meaningful=meaningful, breadcrumbs=breadcrumbs_of(root), version=version_facts(root, source_path))
         body = first(root, "body")
         facts.body_classes = body.classes if body else []
         if not facts.title:
-            return Parsed(reason="missing_title", message="no title")
+            return Parsed(reason="missing_title", message="no title", meaningful=meaningful)
         main = next((n for s in MAIN[layout] if (n := first(root, s))), body)
         if main is None:
-            return Parsed(facts.title, reason="missing_main_content", message="no main content")
+            return Parsed(facts.title, reason="missing_main_content", message="no main content", meaningful=meaningful)
         remove_all(main, (*NOISE, *EXTRA_NOISE[layout]))
         facts.blocks = blocks_of(main)
         if not facts.blocks:
-            return Parsed(facts.title, reason="empty_text", message="no blocks")
+            return Parsed(facts.title, reason="empty_text", message="no blocks", meaningful=meaningful)
         if crate not in metadata.BASE_URLS or "/" not in source_path:
-            return Parsed(facts.title, reason="unsupported_source", message=f"no address for crate {crate}")
+            return Parsed(facts.title, reason="unsupported_source", message=f"no address for crate {crate}", meaningful=meaningful)
         return facts
     except Exception as e:  # a page never ends the job
-        return Parsed(reason="unexpected_error", message=f"{type(e).__name__}: {e}")
+        return Parsed(reason="unexpected_error", message=f"{type(e).__name__}: {e}", meaningful=meaningful)
 
 
 def with_content_check(pages: DataFrame, html: str = "html", out: str = "meaningful") -> DataFrame:
-    """Adds whether a page has content beside headings; unreadable pages count as having it."""
-    check = F.udf(lambda h: True if h is None else has_content(h), "boolean", useArrow=True)
+    """Adds whether a page has content beside headings; unreadable pages count as having it. Pages come in batches."""
+
+    @F.pandas_udf("boolean")
+    def check(column: pd.Series) -> pd.Series:
+        return column.map(lambda h: True if h is None else has_content(h))
+
     return pages.withColumn(out, check(F.col(html)))
 
 
-def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, failures) of pages (source_path, crate, html).
+_FACTS = ("title", "blocks", "breadcrumbs", "body_classes", "version", "reason", "message", "meaningful")
+
 
-    documents: source_path, crate, title, text, url, item_path, item_type, rust_version, blocks. failures: source_path,
-    crate, reason, message. Versions are one row a crate, joined to all its documents. Parsing is one pass without a
-    shuffle; other columns are ignored."""
+def parse_facts(pages: DataFrame) -> DataFrame:
+    """(source_path, crate) and what one pass over each page (source_path, crate, html) tells: title, blocks, breadcrumbs, body_classes, version, reason, message, meaningful. No shuffle; other columns are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["title", "blocks", "breadcrumbs", "body_classes", "version", "reason", "message"]
         for batch in batches:
-            rows = [(p.source_path, p.crate, *(getattr(x, n) for n in names)) for p in batch.itertuples() for x in [parse_page(p.html, p.source_path or "", p.crate or "unknown")]]
-            yield pd.DataFrame(rows, columns=["source_path", "crate", *names])
-
-    schema = f"source_path string, crate string, title string, blocks array<{BLOCK}>, breadcrumbs array<string>, body_classes array<string>, version string, reason string, message string"
-    parsed = pages.select("source_path", "crate", "html").mapInPandas(run, schema)
-    failures = parsed.filter("reason IS NOT NULL").select("source_path", "crate", "reason", "message")
-    good = parsed.filter("reason IS NULL").withColumn("text", render_blocks(F.col("blocks")))
-    versions = parsed.filter("version IS NOT NULL").groupBy("crate").agg(F.min("version").alias("rust_version"))
+            rows = [(p.source_path, p.crate, *(getattr(x, n) for n in _FACTS)) for p in batch.itertuples() for x in [parse_page(p.html, p.source_path or "", p.crate or "unknown")]]
+            yield pd.DataFrame(rows, columns=["source_path", "crate", *_FACTS])
+
+    schema = f"source_path string, crate string, title string, blocks array<{BLOCK}>, breadcrumbs array<string>, body_classes array<string>, version string, reason string, message string, meaningful boolean"
+    return pages.select("source_path", "crate", "html").mapInPandas(run, schema)
+
+
+def failures_of(facts: DataFrame) -> DataFrame:
+    """(source_path, crate, reason, message) of the pages that gave no document."""
+    return facts.filter("reason IS NOT NULL").select("source_path", "crate", "reason", "message")
+
+
+def versions_of(facts: DataFrame) -> DataFrame:
+    """(crate, rust_version): one row for each crate whose key page states a version."""
+    return facts.filter("version IS NOT NULL").groupBy("crate").agg(F.min("version").alias("rust_version"))
+
+
+def documents_of(facts: DataFrame, versions: DataFrame) -> DataFrame:
+    """Documents (source_path, crate, title, text, url, item_path, item_type, rust_version, blocks) of parsed pages; ``versions`` has one row a crate."""
     c = F.col
-    documents = good.join(versions, "crate", "left").select(
+    good = facts.filter("reason IS NULL").withColumn("text", render_blocks(F.col("blocks")))
+    return good.join(versions, "crate", "left").select(
         "source_path", "crate", "title", "text", metadata.document_url(c("source_path"), c("crate")).alias("url"),
         metadata.item_path(c("source_path"), c("crate"), c("title"), c("breadcrumbs")).alias("item_path"),
         metadata.item_type(c("source_path"), c("crate"), c("title"), c("text"), c("body_classes")).alias("item_type"), "rust_version", "blocks",
     )
-    return documents, failures
+
+
+def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of pages (source_path, crate, html), parsed once: the facts are written to the shared folder, as versions, documents and failures all read them. Versions come from key pages among ``pages``."""
+    facts = materialize(parse_facts(pages), "parsed")
+    return documents_of(facts, versions_of(facts)), failures_of(facts)

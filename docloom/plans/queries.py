@@ -12,7 +12,8 @@ from docloom.functions.ids import chunk_id, document_id
 from docloom.operators import batching, dedup, evaluate, prompt, ranking, rerank, search
 from docloom.operators.chunking import chunk_documents, clean_documents, split_messages
 from docloom.operators.parse import parse_pages
-from docloom.runtime import read_table
+from docloom.plans.pipeline import checked_queries, ingest_documents, rebuild, retrieve
+from docloom.runtime import read_table, scratch
 from docloom.schemas import BLOCK
 from docloom.sources import store
 from docloom.streaming.ingest import arrivals
@@ -82,7 +83,7 @@ def clean_document_sizes(spark, directory):
 
 def short_documents(spark, directory):
     rows = read_table(spark, directory, "documents", "doc_id", "text", "crate")
-    return rows.filter(F.length(text.clean_text(c("text"), c("crate"))) < text.MIN_DOCUMENT_CHARS).select("doc_id")
+    return rows.select("doc_id", (F.length(text.clean_text(c("text"), c("crate"))) < text.MIN_DOCUMENT_CHARS).alias("short"))
 
 
 def token_counts(spark, directory):
@@ -194,20 +195,20 @@ def renumbered_chunks(spark, directory):
 
 
 def low_value_chunks(spark, directory):
-    return chunks(spark, directory).filter(text.is_low_value(c("text"))).select("pk")
+    return chunks(spark, directory).select("pk", text.is_low_value(c("text")).alias("low_value"))
 
 
 def changelog_stubs(spark, directory):
     rows = chunks_of_documents(spark, directory)
-    return rows.filter(text.is_changelog_stub(c("text"), c("crate"), c("source_path"), c("section_path"))).select("pk")
+    return rows.select("pk", text.is_changelog_stub(c("text"), c("crate"), c("source_path"), c("section_path")).alias("stub"))
 
 
 def lone_headings(spark, directory):
     rows = chunks(spark, directory).select("pk", "document_pk", "chunk_index", "section_path", text.is_heading_only(c("text"), c("section_path")).alias("lone"))
     rows = ranking.ranked(rows, ["document_pk"], F.floor(c("chunk_index") / 4096), ["chunk_index", "pk"])
-    rows = ranking.with_neighbours(rows, ["document_pk"], "rank", "section_path").filter("lone")
+    rows = ranking.with_neighbours(rows, ["document_pk"], "rank", "section_path")
     near = F.coalesce(c("before") == c("section_path"), F.lit(False)) | F.coalesce(c("after") == c("section_path"), F.lit(False))
-    return rows.select("pk", near.alias("near"))
+    return rows.select("pk", F.coalesce("lone", F.lit(False)).alias("lone"), near.alias("near"))
 
 
 def block_sections(spark, directory):
@@ -359,7 +360,8 @@ def hit_arrivals(spark, directory):
 
 
 def documents_without_chunks(spark, directory):
-    left, right = documents(spark, directory).select("pk"), chunks(spark, directory).select(c("document_pk").alias("pk"))
+    """Documents without a chunk beyond the fourth."""
+    left, right = documents(spark, directory).select("pk"), chunks(spark, directory).filter("chunk_index > 3").select(c("document_pk").alias("pk"))
     return store.documents_without_chunks(left, right, "pk")
 
 
@@ -369,8 +371,9 @@ def chunks_without_documents(spark, directory):
 
 
 def path_difference(spark, directory):
+    """Paths of documents that no search hit leads to."""
     ours = documents(spark, directory).select("source_path").distinct()
-    return ours.subtract(read_table(spark, directory, "vector_point", "source_path"))
+    return ours.subtract(_hydrated(spark, directory, hits(spark, directory)).select("source_path"))
 
 
 def vectors_of_lost_chunks(spark, directory):
@@ -379,9 +382,8 @@ def vectors_of_lost_chunks(spark, directory):
 
 
 def stage_counts(spark, directory):
-    docs = documents(spark, directory)
-    clean = clean_documents(docs)
-    stages = {"read": docs, "clean": clean, "unique": dedup.dedup_documents(clean)}
+    """Rows of each stage of the ingest of the table's documents."""
+    stages = ingest_documents(documents(spark, directory), "dedup").stages
     out = None
     for name, df in stages.items():
         one = df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
@@ -389,6 +391,43 @@ def stage_counts(spark, directory):
     return out
 
 
+def _stored(spark, directory):
+    """A store in the shared folder, rebuilt from the table's documents; those that can't be cut are left out."""
+    base = store.KnowledgeBase(spark, scratch(spark, "store"))
+    rows = documents(spark, directory).select("source_path", "title", "text", "crate", "url", "item_path", "item_type", "rust_version", "blocks")
+    rebuild(base, ingest_documents(rows, strict=False))
+    return base
+
+
+def stored_chunks(spark, directory):
+    """What a version of the store holds, by crate, and whether every chunk stands in its document as its offsets say, has the id of its path and index, and a vector."""
+    base = _stored(spark, directory)
+    made = base.read("chunks").join(base.read("documents").select("source_path", c("text").alias("whole")), "source_path")
+    made = made.join(base.read("vectors").select(c("chunk_id").alias("id"), F.size("vector").alias("numbers")), "id", "left")
+    exact = F.substring("whole", c("start_offset") + 1, c("end_offset") - c("start_offset")) == c("text")
+    named = c("id") == chunk_id(document_id(c("source_path")), c("chunk_index"))
+    return made.groupBy("crate").agg(
+        F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_path").alias("documents"), F.count(F.when(exact, 1)).alias("exact"), F.count(F.when(named, 1)).alias("named"), F.count("numbers").alias("with_vector")
+    )
+
+
+def retrieved_hits(spark, directory):
+    """What the evaluation questions find in such a store, reranked."""
+    found = retrieve(_stored(spark, directory), questions(spark, directory).withColumnRenamed("text", "question"))
+    return found.select("query_id", "rank", "chunk_id", "source_path", "section_title", "item_type", "url", F.round("score", 6).alias("score"))
+
+
+def rejected_questions(spark, directory):
+    """Document titles and texts as questions: which would be rejected and why."""
+    rows = read_table(spark, directory, "documents", "doc_id", "text").select(c("doc_id").alias("query_id"), c("text").alias("question"))
+    return checked_queries(rows, 200).select("query_id", F.length("question").alias("chars"), "rejected")
+
+
+def eval_deltas(spark, directory):
+    out = evaluate.deltas(_ranks(spark, directory, lexical_hits), _ranks(spark, directory, reranked_hits))
+    return out.select(F.round("hit_rate_delta", 6).alias("hit_rate_delta"), F.round("mrr_delta", 6).alias("mrr_delta"), "improved", "regressed", "same")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -397,6 +436,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         duplicate_groups, unique_chunks, renumbered_chunks, low_value_chunks, changelog_stubs, lone_headings, block_sections, chunk_stats, document_chunks,
         message_parts, numbered_batches, token_capped_batches, vector_threshold, vector_filtered, point_payloads, hydrated_hits, first_hits, lexical_hits,
         reranked_hits, context_prefix, prompt_texts, eval_ranks, eval_summary, eval_weak_cases, eval_comparison, hit_latency, hit_arrivals, documents_without_chunks,
-        chunks_without_documents, path_difference, vectors_of_lost_chunks, stage_counts,
+        chunks_without_documents, path_difference, vectors_of_lost_chunks, stage_counts, stored_chunks, retrieved_hits, rejected_questions, eval_deltas,
     )
 } | {f"vector_top_{d}": _vector_query(d) for d in search.DISTANCES}

@@ -162,7 +162,7 @@ ORACLE: dict[str, str] = {
     "clean_code": f"WITH {D}, b AS (SELECT pk, unnest(blocks) AS b, unnest(range(len(blocks))) AS block_no FROM d) SELECT pk, block_no, md5({clean_code('b.text')}) AS code_md5 FROM b WHERE b.block_type = 'code_block'",
     "rendered_blocks": f"WITH {D} SELECT pk, md5({render('blocks')}) AS text_md5 FROM d",
     "clean_document_sizes": f"WITH {D}, {CLEAN_DOCS} SELECT pk, len(blocks) AS blocks, length(text) AS chars FROM cl WHERE length(text) >= 30",
-    "short_documents": f"SELECT doc_id FROM documents WHERE length({clean('text', 'crate')}) < 30",
+    "short_documents": f"SELECT doc_id, length({clean('text', 'crate')}) < 30 AS short FROM documents",
     "token_counts": rf"WITH {C} SELECT pk, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]')) AS tokens FROM c",
     "document_ids": f"WITH {D} SELECT pk, {doc_id('source_path')} AS document_id FROM d",
     "chunk_ids": f"WITH {CD}, i AS (SELECT pk, chunk_index, {doc_id('source_path')} AS did FROM cd) SELECT pk, {uuid5('82f00626-72d1-4ee7-90a5-c281a4f3f4ec', chr(34) + 'did' + chr(34) + " || ':' || chunk_index")} AS chunk_id FROM i",
@@ -179,9 +179,9 @@ ORACLE: dict[str, str] = {
     "duplicate_groups": f"SELECT crate, {text_hash('text')} AS hash, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1",
     "unique_chunks": UNIQUE_CHUNKS,
     "renumbered_chunks": f"WITH {CD} SELECT pk, row_number() OVER (PARTITION BY source_path ORDER BY start_offset NULLS FIRST, end_offset NULLS FIRST, chunk_index) - 1 AS chunk_index FROM cd",
-    "low_value_chunks": f"WITH {C} SELECT pk FROM c WHERE length(text) < 80 AND {collapsed('text')} IN ('added', 'changed', 'fixed', 'removed', 'nightly only', 'documentation', 'internal') AND NOT contains(text, '```') AND NOT regexp_matches(text, '{_SIGNATURE}')",
-    "changelog_stubs": rf"WITH {CD} SELECT pk FROM cd WHERE crate = 'cargo' AND source_path = 'cargo/CHANGELOG.html' AND len(section_path) = 2 AND length(text) < 180 AND len(list_filter({_LINES}, lambda x: regexp_matches(x, '\S'))) <= 2",
-    "lone_headings": f"WITH {C}, n AS (SELECT pk, text, section_path, coalesce(lag(section_path) OVER w = section_path, false) OR coalesce(lead(section_path) OVER w = section_path, false) AS near FROM c WINDOW w AS (PARTITION BY document_pk ORDER BY chunk_index, pk)) SELECT pk, near FROM n WHERE {strip('text')} <> '' AND NOT contains(text, '```') AND {strip('text')} = {strip('section_path[-1]')}",
+    "low_value_chunks": f"WITH {C} SELECT pk, length(text) < 80 AND {collapsed('text')} IN ('added', 'changed', 'fixed', 'removed', 'nightly only', 'documentation', 'internal') AND NOT contains(text, '```') AND NOT regexp_matches(text, '{_SIGNATURE}') AS low_value FROM c",
+    "changelog_stubs": rf"WITH {CD} SELECT pk, coalesce(crate = 'cargo' AND source_path = 'cargo/CHANGELOG.html' AND len(section_path) = 2 AND length(text) < 180 AND len(list_filter({_LINES}, lambda x: regexp_matches(x, '\S'))) <= 2, false) AS stub FROM cd",
+    "lone_headings": f"WITH {C}, n AS (SELECT pk, text, section_path, coalesce(lag(section_path) OVER w = section_path, false) OR coalesce(lead(section_path) OVER w = section_path, false) AS near FROM c WINDOW w AS (PARTITION BY document_pk ORDER BY chunk_index, pk)) SELECT pk, coalesce({strip('text')} <> '' AND NOT contains(text, '```') AND {strip('text')} = {strip('section_path[-1]')}, false) AS lone, near FROM n",
     "block_sections": f"WITH {D}, b AS (SELECT pk, unnest(blocks) AS b, unnest(range(len(blocks))) AS block_no FROM d) SELECT pk, block_no, sum((b.block_type = 'heading')::INT) OVER (PARTITION BY pk ORDER BY block_no)::BIGINT AS section FROM b",
     "numbered_batches": f"WITH {CD} SELECT pk, (row_number() OVER (PARTITION BY document_pk ORDER BY pk) - 1) // 32 AS batch_no FROM cd",
     "vector_top_cosine": _vectors("list_cosine_similarity(q.x, v.x)", "DESC"),
@@ -208,11 +208,13 @@ SELECT e.id AS query_id, md5('Question:' || chr(10) || question || chr(10) || ch
     "eval_summary": f"{LEXICAL_RANKS} SELECT count(*) AS total, count(rank) AS matched, round(count(rank) / count(*), 6) AS hit_rate, round(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr, count(rank) / count(*) >= 0.8 AS passed FROM fl",
     "eval_weak_cases": f"{LEXICAL_RANKS} SELECT case_id, rank FROM fl WHERE rank IS NULL OR rank <> 1",
     "eval_comparison": f"WITH {RERANKED}, {_first_ranks('lx', 'fl')}, {_first_ranks('rr', 'fr')} SELECT fl.case_id, fl.rank AS rank_a, fr.rank AS rank_b, CASE WHEN coalesce(fr.rank, 999) < coalesce(fl.rank, 999) THEN 'improved' WHEN coalesce(fr.rank, 999) > coalesce(fl.rank, 999) THEN 'regressed' ELSE 'same' END AS change FROM fl JOIN fr USING (case_id)",
+    "eval_deltas": f"WITH {RERANKED}, {_first_ranks('lx', 'fl')}, {_first_ranks('rr', 'fr')}, x AS (SELECT fl.rank AS a, fr.rank AS b FROM fl JOIN fr USING (case_id)) SELECT round(count(b) / count(*) - count(a) / count(*), 6) AS hit_rate_delta, round(coalesce(sum(1 / b), 0) / count(*) - coalesce(sum(1 / a), 0) / count(*), 6) AS mrr_delta, count(*) FILTER (WHERE coalesce(b, 999) < coalesce(a, 999)) AS improved, count(*) FILTER (WHERE coalesce(b, 999) > coalesce(a, 999)) AS regressed, count(*) FILTER (WHERE coalesce(b, 999) = coalesce(a, 999)) AS same FROM x",
+    "rejected_questions": rf"WITH q AS (SELECT doc_id AS query_id, coalesce(regexp_replace(text, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g'), '') AS q FROM documents) SELECT query_id, length(q)::INT AS chars, CASE WHEN length(q) = 0 THEN 'blank' WHEN length(q) > 1000 THEN 'too_long' WHEN len(regexp_extract_all(q, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]')) > 200 THEN 'too_many_tokens' END AS rejected FROM q",
     "hit_latency": "SELECT mode, round(avg((epoch_us(received_at) - epoch_us(searched_at)) / 1000), 2) AS average_latency_ms, count(*) AS hits FROM (SELECT DISTINCT * FROM search_hit) GROUP BY mode",
     "hit_arrivals": "SELECT date_trunc('day', searched_at) AS start, mode, count(*) AS hits, round(avg(score), 6) AS mean_score FROM (SELECT DISTINCT * FROM search_hit) WHERE searched_at IS NOT NULL GROUP BY ALL",
-    "documents_without_chunks": "SELECT DISTINCT pk FROM document_record WHERE pk NOT IN (SELECT document_pk FROM chunk_record)",
+    "documents_without_chunks": "SELECT DISTINCT pk FROM document_record WHERE pk NOT IN (SELECT document_pk FROM chunk_record WHERE chunk_index > 3)",
     "chunks_without_documents": "SELECT DISTINCT document_pk AS pk FROM chunk_record WHERE document_pk NOT IN (SELECT pk FROM document_record)",
-    "path_difference": "SELECT source_path FROM document_record EXCEPT SELECT source_path FROM vector_point",
+    "path_difference": f"WITH {HYDRATED} SELECT source_path FROM document_record EXCEPT SELECT source_path FROM hd",
     "vectors_of_lost_chunks": "SELECT DISTINCT chunk_id FROM vector_point WHERE chunk_id NOT IN (SELECT id FROM chunk_record)",
-    "stage_counts": f"WITH {D}, {CLEAN_DOCS}, k2 AS (SELECT * FROM cl WHERE length(text) >= 30), u AS (SELECT DISTINCT crate, {text_hash('text')} AS h FROM k2) SELECT 'read' AS stage, count(*) AS n FROM d UNION ALL SELECT 'clean', count(*) FROM k2 UNION ALL SELECT 'unique', count(*) FROM u",
+    "stage_counts": f"WITH {D}, {CLEAN_DOCS}, k2 AS (SELECT * FROM cl WHERE length(text) >= 30), u AS (SELECT DISTINCT crate, {text_hash('text')} AS h FROM k2) SELECT 'clean' AS stage, count(*) AS n FROM k2 UNION ALL SELECT 'dedup', count(*) FROM u",
 }

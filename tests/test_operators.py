@@ -136,6 +136,11 @@ def test_first_ranks_and_metrics(spark):
     assert (s.total, s.matched, s.hit_rate, round(s.mrr, 4)) == (5, 3, 0.6, 0.5)
     assert {r.case_id for r in evaluate.weak_cases(ranks).collect()} == {"c1", "c4", "c5"} and not evaluate.passes(ranks) and evaluate.passes(ranks, 0.6)
     other = spark.createDataFrame([("c1", 1), ("c2", None), ("c3", 1), ("c4", 9)], "case_id string, rank int")
+    d = evaluate.deltas(ranks, other).first()
+    one, two = evaluate.summary(ranks).first(), evaluate.summary(other).first()
+    assert abs(d.hit_rate_delta - (two.hit_rate - one.hit_rate)) < 1e-9 and abs(d.mrr_delta - (two.mrr - one.mrr)) < 1e-9 and (d.improved, d.regressed, d.same) == (2, 1, 1)
+    failed = evaluate.with_errors(other, spark.createDataFrame([("c1", "timed out"), ("c1", "later")], "case_id string, error string"))
+    assert {r.case_id: (r.error, r["rank"]) for r in failed.collect() if r.error} == {"c1": ("later", None)}
     assert {r.case_id: r.change for r in evaluate.compare(ranks, other).collect()} == {"c1": "improved", "c2": "regressed", "c3": "same", "c4": "improved"}
     nothing = evaluate.summary(ranks.filter("false")).first()
     assert nothing.total == 0 and nothing.hit_rate == 0.0 and nothing.mrr == 0.0

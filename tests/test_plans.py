@@ -10,6 +10,7 @@ from docloom.plans.queries import QUERIES
 from docloom.plans.sql import ORACLE
 from docloom.schemas import DOCUMENT
 from docloom.sources.eval_cases import read_cases
+from docloom.sources.files import scan_pages
 from docloom.sources.store import IntegrityError, KnowledgeBase, check, wrong_ids
 from docloom.streaming import ingest as streams
 
@@ -47,8 +48,10 @@ def test_stages_store_and_retrieval(spark, raw, tmp_path):
     for reranking in (True, False):
         got = pipeline.retrieve(base, queries, settings, use_reranking=reranking).filter("rank = 1").collect()
         assert {r.query_id: r.source_path for r in got} == {"q1": "book/c.html", "q2": "std/vec.html"}
-    made = {r.query_id: r for r in pipeline.chat_prompts(base, queries, settings).collect()}
-    assert set(made) == {"q1", "q2"} and "[1] " in made["q1"].prompt
+    asked = queries.unionByName(spark.createDataFrame([("tokens", "a b " * 220), ("none", None)], queries.schema))
+    made = {r.query_id: r for r in pipeline.chat_prompts(base, asked, pipeline.Settings(retrieval_limit=3, reranking_limit=2, max_query_tokens=300)).collect()}
+    assert "[1] " in made["q1"].prompt and made["q2"].rejected is None
+    assert {k: r.rejected for k, r in made.items() if r.prompt is None} == {"blank": "blank", "none": "blank", "long": "too_long", "tokens": "too_many_tokens"}
     one = base.read("chunks").first()
     assert base.chunk(one.id).count() == 1 and base.chunk("none").count() == 0
     second = pipeline.rebuild(base, artifacts)
@@ -147,3 +150,55 @@ def test_nothing_imports_the_optional_package():
     root = Path(__file__).resolve().parent.parent / "docloom"
     bad = [p for p in root.rglob("*.py") if "llm" not in p.parts and "docloom.llm" in p.read_text()]
     assert not bad
+
+
+def test_ingest_reads_and_parses_once(spark, raw):
+    plan = pipeline.ingest(spark, raw).stages["chunk_dedup"]._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "MapInPandas" not in plan and "PythonUDF" not in plan
+
+
+def test_versions_come_from_key_pages_outside_of_the_selection(spark, tmp_path):
+    root = tmp_path / "raw"
+    text = "A paragraph that tells enough to be kept as a document of its own. " * 3
+    pages = {"cargo/CHANGELOG.html": "<title>c</title><main><h1>Log</h1><h2>Cargo 1.84 (2025)</h2><p>x</p></main>", "cargo/guide.html": page("Guide", text), "book/index.html": "<title>b</title><main><h1>Book</h1><p>uses Rust 1.85.0 or later</p></main>", "book/z.html": page("Z", text), "core/fn.a.html": page("a", text), "elsewhere/x.html": page("X", text)}
+    for name, html in pages.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(html)
+    got = {r.source_path: r.rust_version for r in pipeline.ingest(spark, str(root), "parse", ["cargo", "book"], 2).stages["parse"].collect()}
+    assert got == {"cargo/guide.html": "1.84", "book/index.html": "1.85.0"}
+    scanned = {(r.source_path, r.crate) for r in scan_pages(spark, str(root), crates=["core", "unknown"]).collect()}
+    assert scanned == {("core/fn.a.html", "core"), ("elsewhere/x.html", "unknown")}
+    with pytest.raises(FileNotFoundError):
+        scan_pages(spark, str(root / "none"))
+    with pytest.raises(NotADirectoryError):
+        scan_pages(spark, str(root / "book/z.html"))
+
+
+def test_a_document_that_cannot_be_cut_is_left_out_if_not_strict(spark):
+    body = lambda t: [("paragraph", t, "p", None, None, None, None, ["T"])]
+    rows = [("book/a.html", "A", "x", "book", "u", None, None, None, body("Words that can be cut. " * 20)), ("book/b.html", "B", "x", "book", "u", None, None, None, body("x" * 9000))]
+    stages = pipeline.ingest_documents(spark.createDataFrame(rows, DOCUMENT), strict=False).stages
+    assert [r.source_path for r in stages["uncut"].collect()] == ["book/b.html"] and [r.source_path for r in stages["dedup"].collect()] == ["book/a.html"]
+    assert {r.source_path for r in stages["chunk_dedup"].collect()} == {"book/a.html"}
+
+
+def test_only_the_absence_of_the_optional_package_is_passed_over(monkeypatch):
+    import builtins
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def without(missing):
+        def load(name, *args, **kwargs):
+            if name.startswith("docloom.llm"):
+                raise ModuleNotFoundError(name=missing)
+            return real(name, *args, **kwargs)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", without("docloom.llm"))
+    assert entry._optional() == ({}, {})
+    monkeypatch.setattr(builtins, "__import__", without("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional()
