@@ -133,6 +133,11 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     return p9_restored(spark, directory).select("doc_id").distinct()
 
 
+def p9_accuracy(spark: SparkSession, directory: str) -> DataFrame:
+    """How many held-out misreadings of the corpus's own tokens are found and restored, and how many clean tokens would be changed."""
+    return garble.accuracy(read_table(spark, directory, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -155,4 +160,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
+    "p9_accuracy": p9_accuracy,
 }
