@@ -65,5 +65,9 @@ def split_message(text: str, limit: int = 4000, blank: str = "There is no answer
 
 def split_messages(df: DataFrame, column: str, limit: int = 4000) -> DataFrame:
     """``df`` with one row for each message of ``column``: message_no from 0 and message."""
-    cut = F.udf(lambda t: split_message(t or "", limit), "array<string>", useArrow=True)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_message(t or "", limit))
+
     return df.select("*", F.posexplode(cut(F.col(column))).alias("message_no", "message"))

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.runtime import unused_name
+from docloom.runtime import materialize, unused_name
 
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
 #: Queries whose vectors are broadcast at a time.
 PASS_ROWS = 8192
+#: Words of queries up to which they are broadcast in lexical search, and salts of a word beyond.
+BROADCAST_WORDS, WORD_SALTS = 200_000, 64
 
 
 def scores(queries: np.ndarray, rows: np.ndarray, distance: str) -> np.ndarray:
@@ -35,8 +37,8 @@ def scores(queries: np.ndarray, rows: np.ndarray, distance: str) -> np.ndarray:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, distance: str = "cosine", threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` best rows of ``corpus`` (id, vector) for every row of ``queries`` (query_id, vector).
 
-    Queries are broadcast in passes of at most about PASS_ROWS, every task scores its rows in blocks and sends only its
-    best k for each query. Ties go to the smaller id. Null vectors, vectors with nulls and vectors of another length
+    Queries are broadcast in passes of at most about PASS_ROWS, one after the other: a pass's results are written before the
+    next is collected. Every task scores its rows in blocks and sends only its best k for each query. Ties go to the smaller id. Null vectors, vectors with nulls and vectors of another length
     than the query take no part. ``threshold`` keeps scores of at least it (distances: at most). Fewer than k rows give
     fewer; an empty side gives none."""
     if distance not in DISTANCES:
@@ -48,6 +50,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, distance: str = "c
     rows = corpus.select("id", "vector").filter(whole & F.col("id").isNotNull())
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *corpus.schema.fields]}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    order = Window.partitionBy("query_id").orderBy(F.col("score") * sign, "id")
     passes = -(-asked.count() // PASS_ROWS)
     found = None
     for n in range(passes):
@@ -79,12 +82,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, distance: str = "c
                         q, c = np.nonzero(np.isfinite(best))
                         yield pa.RecordBatch.from_arrays([names.take(pa.array(where[q + lo])), ids.take(pa.array(order[q, c])), pa.array(sign * best[q, c])], names=["query_id", "id", "score"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if passes > 1:
+            part = materialize(part, "search-pass")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    order = Window.partitionBy("query_id").orderBy(F.col("score") * sign, "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return spark.createDataFrame([], schema + ", rank int") if found is None else found
 
 
 def filtered_top_k(queries: DataFrame, corpus: DataFrame, where: Column, **options) -> DataFrame:
@@ -98,6 +101,21 @@ def payload_map(points: DataFrame, columns: list[str]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
+def payload_columns(payload: Column, required: list[str], optional: list[str]) -> list[Column]:
+    """The columns of a payload map, the inverse of ``payload_map``: a required key that is missing or empty ends the job with its name; ``chunk_index`` is read as a number, and what is none ends it too."""
+
+    def read(name: str, needed: bool) -> Column:
+        value = F.element_at(payload, F.lit(name))
+        if needed:
+            value = F.when(F.coalesce(value, F.lit("")) != "", value).otherwise(F.raise_error(F.lit(f"payload without {name}")).cast("string"))
+        if name == "chunk_index":
+            number = F.when(value.rlike(r"^\d{1,9}$"), value.cast("int"))
+            value = F.when(value.isNotNull() & number.isNull(), F.raise_error(F.concat(F.lit("chunk_index is no number: "), value)).cast("int")).otherwise(number)
+        return value.alias(name)
+
+    return [*(read(n, True) for n in required), *(read(n, False) for n in optional)]
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits (query_id, chunk_id, rank, score) with their chunk (id, document_pk, text, section_path, token_count) and document (pk, title, url, source_path, item_path, crate).
 
@@ -116,8 +134,9 @@ def first_hits(hits: DataFrame, limit: int) -> DataFrame:
 def lexical_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` rows of ``corpus`` (id, text) that share most different words with each query (query_id, text).
 
-    A join on words, aggregated with map-side combine; the score is the share of the query's words. A repeated id
-    counts once. Rows that share no word don't come out; ties go to the smaller id; null texts have no words."""
+    A join on words, aggregated with map-side combine; the score is the share of the query's words. The queries' words are
+    broadcast up to BROADCAST_WORDS, so a word that stands in every row shuffles nothing; beyond, rows are spread over
+    WORD_SALTS salts of each word. A repeated id counts once. Rows that share no word don't come out; ties go to the smaller id; null texts have no words."""
 
     def words(df: DataFrame, key: str) -> DataFrame:
         found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z0-9_]{3,})"), F.lit(1)))
@@ -125,6 +144,11 @@ def lexical_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFra
 
     asked = words(queries.dropDuplicates(["query_id"]), "query_id")
     held = words(corpus.dropDuplicates(["id"]), "id").select("id", "word")
-    shared = held.join(asked, "word").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("words")).alias("score"))
+    if asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        met = held.join(F.broadcast(asked), "word")
+    else:
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))))
+        met = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(WORD_SALTS)).cast("int")).join(salted, ["word", "salt"])
+    shared = met.groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("words")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return shared.withColumn(unused_name(shared, "rank"), F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -114,12 +114,12 @@ def ingest_documents(documents: DataFrame, stage: str = "all", settings: Setting
     return out
 
 
-def rebuild(base: KnowledgeBase, artifacts: Artifacts, embedder: Embedder | None = None, tokenizer: str | None = None) -> str:
+def rebuild(base: KnowledgeBase, artifacts: Artifacts, embedder: Embedder | None = None, tokenizer: str | None = None, distance: str = "cosine") -> str:
     """Counts tokens (with a tokenizer's file if one is named), embeds and replaces the store; vectors are made before anything is replaced."""
     chunks = artifacts.stages["chunk_dedup"]
     chunks = with_token_counts(chunks, tokenizer) if tokenizer else chunks.withColumn("token_count", token_count(F.col("text")))
     vectors = embed(chunks.select(F.col("id").alias("chunk_id"), "text"), embedder).drop("text")
-    return base.replace(artifacts.stages["dedup"], chunks, vectors)
+    return base.replace(artifacts.stages["dedup"], chunks, vectors, distance)
 
 
 MAX_QUESTION_CHARS = 1000
@@ -143,6 +143,8 @@ def retrieve(base: KnowledgeBase, queries: DataFrame, settings: Settings = Setti
     """Ranked chunks for each query (query_id, question): vector search, hydration and, if asked for, reranking of what was hydrated. Rows have the chunk's section and its document's title, url and item. Invalid questions give no rows; ``checked_queries`` tells why."""
     asked = embed(valid_queries(queries).select("query_id", F.col("question").alias("text")), embedder)
     corpus = base.read("vectors").withColumnRenamed("chunk_id", "id")
+    if (kept := base.vector_space()[1]) != settings.distance:
+        raise ValueError(f"the store's vectors are for {kept}, not for {settings.distance}")
     hits = search.top_k(asked.select("query_id", "vector"), corpus, settings.retrieval_limit, settings.distance).withColumnRenamed("id", "chunk_id")
     if not use_reranking:
         hits = search.first_hits(hits, settings.reranking_limit)

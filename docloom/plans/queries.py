@@ -277,6 +277,13 @@ def point_payloads(spark, directory):
     return rows.select("chunk_id", F.array_join(F.array_sort(F.map_keys(payload)), ",").alias("keys"), F.array_join(F.map_values(payload), "|").alias("payload"))
 
 
+def decoded_payloads(spark, directory):
+    """Payloads written as maps and read back into columns."""
+    rows = read_table(spark, directory, "vector_point", "chunk_id", "document_id", "crate", "item_path", "section_title", "chunk_index").distinct()
+    payload = search.payload_map(rows, ["document_id", "crate", "item_path", "section_title", "chunk_index"])
+    return rows.select("chunk_id", payload.alias("p")).select("chunk_id", *search.payload_columns(c("p"), ["document_id", "crate"], ["item_path", "section_title", "chunk_index"]))
+
+
 # retrieval
 
 
@@ -434,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         text_hashes, clean_texts, normal_texts, clean_code, rendered_blocks, clean_document_sizes, short_documents, token_counts, document_ids, chunk_ids,
         document_urls, detected_crates, item_paths, item_types, section_titles, selected_paths, page_flags, block_codec, parsed_pages, unique_documents,
         duplicate_groups, unique_chunks, renumbered_chunks, low_value_chunks, changelog_stubs, lone_headings, block_sections, chunk_stats, document_chunks,
-        message_parts, numbered_batches, token_capped_batches, vector_threshold, vector_filtered, point_payloads, hydrated_hits, first_hits, lexical_hits,
+        message_parts, numbered_batches, token_capped_batches, vector_threshold, vector_filtered, point_payloads, decoded_payloads, hydrated_hits, first_hits, lexical_hits,
         reranked_hits, context_prefix, prompt_texts, eval_ranks, eval_summary, eval_weak_cases, eval_comparison, hit_latency, hit_arrivals, documents_without_chunks,
         chunks_without_documents, path_difference, vectors_of_lost_chunks, stage_counts, stored_chunks, retrieved_hits, rejected_questions, eval_deltas,
     )

@@ -69,18 +69,35 @@ class KnowledgeBase:
         names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
         return names[-1].split("-", 1)[1] if names else None
 
-    def replace(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> str:
+    def replace(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, distance: str = "cosine") -> str:
+        """Writes and checks a new version, then turns the pointer. With vectors the version keeps their number of dimensions and the distance they are meant for; vectors of different sizes are refused."""
         version = uuid.uuid4().hex
         for name, df in zip(TABLES, (documents, chunks, vectors)):
             if df is not None:
                 df.write.parquet(f"{self.root}/{version}/{name}")
         check(self.read("documents", version), self.read("chunks", version))
-        fs, folder = self._fs(f"{self.root}/pointer")
-        count = len(fs.listStatus(folder)) if fs.exists(folder) else 0
-        fs, p = self._fs(f"{self.root}/pointer/{count:012d}-{version}")
+        if vectors is not None:
+            least, most = self.read("vectors", version).agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+            if least != most:
+                raise IntegrityError(f"vectors of {least} to {most} numbers")
+            self.spark.createDataFrame([(most, distance)], "size int, distance string").coalesce(1).write.json(f"{self.root}/{version}/vector_space")
+        fs, p = self._fs(f"{self.root}/pointer/{self._claim():012d}-{version}")
         fs.create(p, False).close()
         return version
 
+    def _claim(self) -> int:
+        """The next number of a pointer; of two writers each gets another, as a number's file is created by one only."""
+        fs, folder = self._fs(f"{self.root}/claims")
+        number = len(fs.listStatus(folder)) if fs.exists(folder) else 0
+        while True:
+            try:
+                fs.create(self._fs(f"{self.root}/claims/{number:012d}")[1], False).close()
+                return number
+            except Exception:
+                if not fs.exists(self._fs(f"{self.root}/claims/{number:012d}")[1]):
+                    raise
+                number += 1
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Adds rows to a table of the current version; none is no work."""
         rows.write.mode("append").parquet(f"{self.root}/{self.version()}/{name}")
@@ -92,6 +109,17 @@ class KnowledgeBase:
             raise IntegrityError("there is no version yet")
         return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
+    def vector_space(self, version: str | None = None) -> tuple[int | None, str]:
+        """(numbers of a vector, distance) that a version keeps; the number is null if there are no vectors in it."""
+        if (version := version or self.version()) is None:
+            raise IntegrityError("there is no version yet")
+        row = self.spark.read.schema("size int, distance string").json(f"{self.root}/{version}/vector_space").first()
+        return row["size"], row["distance"]
+
+    def document(self, id: str) -> DataFrame:
+        """The document with an id; no row if it is unknown."""
+        return self.read("documents").filter(document_id(F.col("source_path")) == id)
+
     def chunk(self, chunk_id: str) -> DataFrame:
         """The chunk with an id and its document's title and url; no row if it is unknown. The id reaches the scan as a filter."""
         documents = self.read("documents").select("source_path", F.col("title").alias("document_title"), "url")

@@ -10,8 +10,9 @@ from docloom.operators.chunking import chunk_documents, clean_documents
 
 
 def first_deliveries(documents: DataFrame, late: str = "7 days", time: str = "loaded_at") -> DataFrame:
-    """Documents delivered again within ``late`` count once; older state is forgotten."""
-    return documents.withWatermark(time, late).dropDuplicatesWithinWatermark(["source_path", "crate"])
+    """Documents delivered again unchanged within ``late`` count once; a corrected page comes out again. Older state is forgotten."""
+    told = documents.withColumn("__told", F.xxhash64("title", "text", F.to_json("blocks")))
+    return told.withWatermark(time, late).dropDuplicatesWithinWatermark(["source_path", "crate", "__told"]).drop("__told")
 
 
 def chunk_stream(documents: DataFrame, late: str = "7 days", time: str = "loaded_at") -> DataFrame:

@@ -155,3 +155,32 @@ def test_ranks_and_neighbours_in_stretches(spark):
     near = {r.at: (r.before, r.after) for r in ranking.with_neighbours(got, ["g"], "rank", "v").filter("g = 'a'").collect()}
     assert near[0] == (None, "v3") and near[99] == ("v96", "v102") and near[198] == ("v195", None)
     assert ranking.ranked(df.filter("false"), ["g"], F.col("at"), ["at"]).count() == 0
+
+
+def test_payload_round_trip_and_validation(spark):
+    df = spark.createDataFrame([("a", "d", None, 3), ("b", "e", "t", None)], "chunk_id string, document_id string, section_title string, chunk_index int")
+    maps = df.select("chunk_id", search.payload_map(df, ["document_id", "section_title", "chunk_index"]).alias("p"))
+    back = maps.select("chunk_id", *search.payload_columns(F.col("p"), ["document_id"], ["section_title", "chunk_index"]))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="payload without section_title"):
+        maps.select(*search.payload_columns(F.col("p"), ["section_title"], [])).collect()
+    wrong = spark.createDataFrame([({"chunk_index": "many"},)], "p map<string,string>")
+    with pytest.raises(Exception, match="no number"):
+        wrong.select(*search.payload_columns(F.col("p"), [], ["chunk_index"])).collect()
+
+
+def test_lexical_search_beyond_the_broadcast(spark, monkeypatch):
+    corpus = spark.createDataFrame([(k, f"the word w{k % 7}x and the n{k % 3}y") for k in range(300)], "id int, text string")
+    asked = spark.createDataFrame([(k, f"the w{k}x n{k % 3}y") for k in range(7)], "query_id int, text string")
+    want = sorted(map(tuple, search.lexical_top_k(asked, corpus, 5).collect()))
+    monkeypatch.setattr(search, "BROADCAST_WORDS", 0)
+    assert sorted(map(tuple, search.lexical_top_k(asked, corpus, 5).collect())) == want and len(want) == 35
+
+
+def test_vector_search_in_written_passes(spark, monkeypatch):
+    rows = [(k, [float(k % 5), float(k % 7), 1.0]) for k in range(90)]
+    df = spark.createDataFrame(rows, "id int, vector array<float>")
+    asked = df.withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, search.top_k(asked, df, 3).collect()))
+    monkeypatch.setattr(search, "PASS_ROWS", 20)
+    assert sorted(map(tuple, search.top_k(asked, df, 3).collect())) == want

@@ -54,6 +54,11 @@ def test_stages_store_and_retrieval(spark, raw, tmp_path):
     assert {k: r.rejected for k, r in made.items() if r.prompt is None} == {"blank": "blank", "none": "blank", "long": "too_long", "tokens": "too_many_tokens"}
     one = base.read("chunks").first()
     assert base.chunk(one.id).count() == 1 and base.chunk("none").count() == 0
+    assert [r.source_path for r in base.document(one.document_id).collect()] == [one.source_path] and base.document("none").count() == 0
+    assert base.vector_space()[1] == "cosine" and base.vector_space()[0] == len(base.read("vectors").first().vector)
+    with pytest.raises(ValueError, match="for cosine"):
+        pipeline.retrieve(base, queries, pipeline.Settings(distance="dot"))
+    assert [base._claim(), KnowledgeBase(spark, base.root)._claim()] == [1, 2]
     second = pipeline.rebuild(base, artifacts)
     assert base.version() == second != first
 
@@ -124,12 +129,13 @@ def test_stream_counts_deliveries_once(spark, tmp_path):
     rows = [(f"book/{k}.html", "T", "x", "book", "u", None, None, None, body) for k in range(5)]
     documents = spark.createDataFrame(rows, DOCUMENT).withColumn("loaded_at", F.lit("2025-01-01 00:00:00").cast("timestamp"))
     source = tmp_path / "in"
-    documents.unionByName(documents.limit(2)).write.parquet(str(source))
+    corrected = documents.limit(1).withColumn("source_path", F.lit("book/0.html")).withColumn("title", F.lit("Corrected"))
+    documents.unionByName(documents.limit(2)).unionByName(corrected).write.parquet(str(source))
     stream = spark.readStream.schema(documents.schema).parquet(str(source))
     query = streams.write_chunks(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
-    want = chunk_documents(documents.select("source_path", "crate", "title", "text", "blocks"))
+    want = chunk_documents(documents.unionByName(corrected).select("source_path", "crate", "title", "text", "blocks"))
     assert sorted(r.source_path for r in got.collect()) == sorted(r.source_path for r in want.collect())
 
 
