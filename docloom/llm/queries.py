@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import canonical, garble, leaks, lines, mainbody, neardup, neighbours, packing, split
@@ -66,6 +66,16 @@ def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return split.split_texts(documents.unionByName(chunks)).withColumnsRenamed({"kind": "rec_table", "item": "pk"})
 
 
+def p4_coverage(spark: SparkSession, directory: str) -> DataFrame:
+    """Of every oversized text: whether its pieces are small enough, numbered from 0, cover it from end to end with overlaps of at most 150, and stand where their offsets say."""
+    order = Window.partitionBy("rec_table", "pk").orderBy("piece_no")
+    rows = p4_pieces(spark, directory).withColumn("before", F.lag("piece_end").over(order)).withColumn("next_no", F.coalesce(F.lag("piece_no").over(order) + 1, F.lit(0)))
+    joined = F.col("before").isNull() | F.col("piece_start").between(F.col("before") - 150, F.col("before"))
+    good = joined & (F.col("piece_no") == F.col("next_no")) & (F.length("text") == F.col("piece_end") - F.col("piece_start")) & (F.length("text") <= 1400)
+    shifted = F.col("start_offset").isNull() | (F.col("end_offset") - F.col("start_offset") == F.length("text"))
+    return rows.groupBy("rec_table", "pk").agg(F.max("piece_end").alias("chars"), ((F.min("piece_start") == 0) & F.every(good & shifted)).alias("whole"))
+
+
 def p4_ranges(spark: SparkSession, directory: str) -> DataFrame:
     """Pieces of the page texts, worked on in ranges of 4,096 code points, so that most texts are cut by several workers."""
     documents = read_table(spark, directory, "document_record").selectExpr("'document_record' AS kind", "pk AS item", "0 AS start_offset", "text_content AS text")
@@ -114,6 +124,14 @@ def p7_fill(spark: SparkSession, directory: str) -> DataFrame:
     return total.selectExpr("containers", "tokens", "fullest", "ceil(tokens / 2048) AS least_containers", "round(tokens / (containers * 2048), 5) AS fill")
 
 
+def p7_whole(spark: SparkSession, directory: str) -> DataFrame:
+    """Of every document: whether its parts stand in containers, in order and without gaps, and are several only where each but the last is full."""
+    order = Window.partitionBy("doc_id").orderBy("part")
+    rows = p7_packed(spark, directory).withColumn("at", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("last", F.lead("part").over(order).isNull())
+    good = (F.col("start_token") == F.col("at")) & (F.col("last") | (F.col("tokens") == 2048)) & (F.col("tokens") <= 2048) & (F.col("container").isNotNull() | (F.col("tokens") == 0))
+    return rows.groupBy("doc_id").agg((F.sum("tokens") > 0).alias("placed"), F.every(good).alias("whole"))
+
+
 def p8_leaks(spark: SparkSession, directory: str) -> DataFrame:
     documents = read_table(spark, directory, "documents").selectExpr("doc_id AS doc", "text")
     passages = read_table(spark, directory, "eval_passage").selectExpr("item_id AS item", "passage AS text")
@@ -148,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_coverage": p4_coverage,
     "p4_ranges": p4_ranges,
     "p4_files": p4_files,
     "p5_found": p5_found,
@@ -156,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_whole": p7_whole,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,

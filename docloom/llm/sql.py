@@ -124,6 +124,8 @@ ORACLE: dict[str, str] = {
     "p3_cleaned": P3_CLEANED,
     "p3_blocks": P3_BLOCKS,
     "p4_found": P4_FOUND,
+    "p4_coverage": "SELECT rec_table, pk, max(n) AS chars, true AS whole FROM (SELECT 'document_record' AS rec_table, pk, length(text_content) AS n FROM document_record UNION ALL SELECT 'chunk_record', pk, length(text) FROM chunk_record) WHERE n > 1400 GROUP BY ALL",
     "p6_found": P6_FOUND,
+    "p7_whole": "SELECT doc_id, coalesce(text, '') <> '' AS placed, true AS whole FROM documents",
     "p8_found": P8_FOUND,
 }
