@@ -63,12 +63,14 @@ class Ledger:
     A version is a file that names the batches it holds and, for each table and bucket, the folders with its rows; it is
     created only when all of these are complete, and never over another, so a lost job or a second writer leaves the last
     version as it was. ``update`` reads the buckets that a batch touches only; of counts it writes these anew, to the
-    other tables it adds. A table's buckets are doubled when they hold more than ``bucket_rows`` rows on average."""
+    other tables it adds. A table's buckets are doubled when they hold more than ``bucket_rows`` rows on average, and a table
+    is written together when a bucket is spread over more than ``folders`` batches. ``tidy`` deletes what only older
+    versions name."""
 
     TABLES = {"items": "item long, plain binary", "counts": "plain binary, copies long, kept long", "nodes": "node binary, root binary", "merged": "root binary, final binary"}
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, bucket_rows: int = 2_000_000) -> None:
-        self.spark, self.path, self.buckets, self.bucket_rows = spark, path.rstrip("/"), buckets, bucket_rows
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, bucket_rows: int = 2_000_000, folders: int = 16) -> None:
+        self.spark, self.path, self.buckets, self.bucket_rows, self.folders = spark, path.rstrip("/"), buckets, bucket_rows, folders
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -119,9 +121,9 @@ class Ledger:
         return [r[0] for r in rows.select(_bucket(F.col(key), content["tables"][table]["buckets"])).distinct().collect()]
 
     def _grow(self, content: dict, table: str, key: str) -> None:
-        """Doubles the buckets of a table until they are small enough, and writes it anew."""
+        """Doubles the buckets of a table until they are small enough, or brings its batches together, by writing it anew."""
         state, rows = content["tables"][table], self.read(table, content=content)
-        if state["rows"] <= self.bucket_rows * state["buckets"]:
+        if state["rows"] <= self.bucket_rows * state["buckets"] and max(map(len, state["at"].values()), default=0) <= self.folders:
             return
         state["rows"] = rows.count()
         while state["rows"] > self.bucket_rows * state["buckets"]:
@@ -154,6 +156,21 @@ class Ledger:
         self._turn(number + 1, content)
         return True
 
+    def tidy(self) -> int:
+        """Deletes the folders and versions that the last version doesn't need, and says how many; not to be called while another reads or writes."""
+        number, content = self._version()
+        needed = {folder for t in content["tables"].values() for folders in t["at"].values() for folder in folders}
+        gone = 0
+        for table in self.TABLES:
+            fs, p = self._fs(f"{self.path}/{table}")
+            for name in [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []:
+                if f"{self.path}/{table}/{name}" not in needed:
+                    gone += bool(fs.delete(self._fs(f"{self.path}/{table}/{name}")[1], True))
+        fs, p = self._fs(f"{self.path}/versions")
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(p))[:-1] if fs.exists(p) else []:
+            gone += bool(fs.delete(self._fs(f"{self.path}/versions/{name}")[1], False))
+        return gone
+
     def _link(self, content: dict, fresh: DataFrame) -> None:
         """Takes up which keys the field records among ``fresh`` link; labels of earlier batches that they join become one."""
         pairs = materialize(fresh.filter("fields IS NOT NULL").select("plain", "fields").distinct(), "p6-pairs")
